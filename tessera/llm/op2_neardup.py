@@ -5,10 +5,10 @@ For each of ``sketches`` hash functions the ``ell`` smallest labelled k-mers, ke
 value: equal values need equal k-mers in an equal order, which is close to edit similarity. Each value is a bucket key.
 
 Texts of equal words collapse to their smallest id first, so exact copies, however many, cost one aggregation.
-In a bucket no pairs are listed: one member, the hub, is compared with the others, one row each. After a round, links
-join classes; in a bucket only members whose class is not that of a former hub are unresolved, and they give the next
-hubs, which are compared with all members of other classes. Rounds go on until no bucket has unresolved members, with
-four times as many hubs a round.
+In a bucket no pairs are listed: up to eight members, the hubs, are compared with the others, one row each. Members that no
+hub of the bucket took are open; they give the next hubs, eight times as many, which are compared with all members.
+Rounds go on until no bucket has open members, so the rows grow with members times hubs needed, not with pairs: copies of
+one text need one hub, and only members unlike all others become hubs themselves.
 
 A pair's k-mer sequences are aligned inside the band that the threshold leaves (matching runs at either end are cut off
 first; the core is a bit-parallel LCS). Similarity: aligned k-mers over all k-mers of both, the Jaccard index of k-mers
@@ -110,22 +110,22 @@ def connected(edges: DataFrame) -> DataFrame:
     edges; the number of nodes falls geometrically, whatever the shape. Hot nodes are summed up before shuffles.
     """
     left = cut(edges.select("a", "b").filter("a <> b").distinct())
-    names = None
-    k = 0
+    steps: list[DataFrame] = []
     while left.take(1):
-        k += 1
+        k = len(steps)
         both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
         near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("h"), F.col("b").alias("v"))).alias("m"))
-        self_ = F.struct(F.xxhash64("a", F.lit(k)).alias("h"), F.col("a").alias("v"))
-        goes = cut(near.select("a", F.least("m", self_)["v"].alias("next")))
-        if names is None:
-            names = goes.select(F.col("a").alias("node"), F.col("next").alias("at"))
-        else:
-            names = cut(names.join(goes, F.col("at") == F.col("a"), "left").select("node", F.coalesce("next", "at").alias("at")))
+        own = F.struct(F.xxhash64("a", F.lit(k)).alias("h"), F.col("a").alias("v"))
+        goes = cut(near.select("a", F.least("m", own)["v"].alias("next")))
         to_a, to_b = goes.select("a", F.col("next").alias("ta")), goes.select(F.col("a").alias("b"), F.col("next").alias("tb"))
         left = cut(left.join(to_a, "a").join(to_b, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct())
-    if names is None:
+        steps.append(goes)
+    if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).limit(0)
+    names = steps[0].select(F.col("a").alias("node"), F.col("next").alias("at"))
+    for goes in steps[1:]:
+        names = names.join(goes, F.col("at") == F.col("a"), "left").select("node", F.coalesce("next", "at").alias("at"))
+    names = cut(names)
     least = names.groupBy("at").agg(F.min("node").alias("class"))
     return names.join(least, "at").select("node", "class")
 
@@ -155,21 +155,21 @@ def near_duplicates(
             yield pd.DataFrame({"id": pdf["id"], "h1": pdf["h1"], "h2": pdf["h2"], "sk": sk})
 
     rows = cut(keyed.mapInPandas(sketch, f"id {kind}, h1 long, h2 long, sk array<long>"))
-    reps = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep")))
-    own = rows.join(reps.filter("rep is not null").select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"]).select("id", "sk").dropDuplicates(["id"])
-    cells = own.select("id", F.posexplode("sk").alias("f", "v")).select("id", F.xxhash64("f", "v").alias("key"))
-    shared = cells.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    cells = cut(cells.join(shared, "key"))
-    texts = src.select("id", "text").filter("id is not null")
-    classes = _link(cells, texts, kind, k, threshold)
-    named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("class", "rep").alias("class_id"))
-    out = rows.select("id", "h1", "h2").join(named, ["h1", "h2"])
+    reps = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sk").alias("sk")))
+    cells = reps.filter("rep is not null").select(F.col("rep").alias("id"), F.posexplode("sk").alias("f", "v")).select(F.xxhash64("f", "v").alias("key"), "id")
+    links = _links(cells, src.select("id", "text"), kind, k, threshold)
+    named = reps.select("h1", "h2", "rep")
+    if links is None:
+        named = named.withColumn("class_id", F.col("rep"))
+    else:
+        named = named.join(connected(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("class", "rep"))
+    out = rows.select("id", "h1", "h2").join(named.select("h1", "h2", "class_id"), ["h1", "h2"])
     first = F.row_number().over(W.Window.partitionBy("id").orderBy("h1", "h2")) == 1  # among repeated rows
     return out.select("id", "class_id", (F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)) & first).alias("kept")).withColumnRenamed("id", id_col)
 
 
-def _link(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: float) -> DataFrame:
-    """(node, class) from buckets (id, key): rounds of hubs, as the module says."""
+def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: float, hubs: int = 8) -> DataFrame | None:
+    """(a, b) of verified pairs from bucket rows (key, id): rounds of hubs, as the module says; None without any."""
 
     def verify(batches):
         import re
@@ -179,45 +179,28 @@ def _link(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: floa
             ok = [similarity(cutter.findall(a.lower()), cutter.findall(b.lower()), k, threshold) >= threshold for a, b in zip(pdf["ta"], pdf["tb"])]
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
-    links = classes = tried = None
-    active = cells.withColumn("class", F.col("id")).withColumn("used", F.lit(False))
-    hubs_a_round = 1
+    bucket = W.Window.partitionBy("key")
+    held = links = None
+    # open: not yet linked to a hub of the bucket, nor one itself
+    now = cells.withColumn("open", F.lit(True)).withColumn("n", F.count("*").over(bucket)).filter("n > 1").drop("n")
     while True:
-        rank = F.row_number().over(W.Window.partitionBy("key").orderBy("h", "id"))
-        waiting = active.filter("not used").select("key", "id", "class", F.xxhash64("id", "key").alias("h"))
-        if hubs_a_round == 1:
-            hubs = waiting.groupBy("key").agg(F.min_by(F.struct("id", "class"), "h").alias("m")).select("key", F.col("m.id").alias("hub"), F.col("m.class").alias("hub_class"))
-        else:
-            hubs = waiting.withColumn("at", rank).filter(F.col("at") <= hubs_a_round).select("key", F.col("id").alias("hub"), F.col("class").alias("hub_class"))
-        hubs = cut(hubs)
-        if not hubs.take(1):
-            break
-        pairs = active.join(hubs, "key").filter("class <> hub_class").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.take(1):
-            need = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-            held = texts.join(need, "id").groupBy("id").agg(F.min("text").alias("text"))
-            ta, tb = held.select(F.col("id").alias("a"), F.col("text").alias("ta")), held.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-            good = cut(pairs.join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}"))
-            tried = pairs if tried is None else cut(tried.union(pairs))
-            if good.take(1):
-                links = good if links is None else cut(links.union(good))
-                classes = cut(connected(links))
-        # resolved: a hub, or in the class of one
-        now = active.drop("class")
-        now = now.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("class", "id")) if classes is not None else now.withColumn("class", F.col("id"))
-        hub_now = hubs.select("key", F.col("hub").alias("id"))
-        hub_now = hub_now.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("class", "id")) if classes is not None else hub_now.withColumn("class", F.col("id"))
-        done = cut(hub_now.select("key", "class", F.lit(True).alias("hit")).distinct())
-        now = now.join(done, ["key", "class"], "left").select("key", "id", "class", (F.col("used") | F.col("hit").isNotNull()).alias("used"))
-        open_keys = cut(now.filter("not used").select("key").distinct())
-        if not open_keys.take(1):
-            break
-        active = cut(now.join(open_keys, "key"))
-        hubs_a_round *= 4
-    if classes is None:
-        return cells.select(F.col("id").alias("node"), F.col("id").alias("class")).limit(0)
-    return classes
+        turn = F.row_number().over(W.Window.partitionBy("key").orderBy(F.col("open").desc(), F.xxhash64("id", "key"), "id"))
+        now = now.withColumn("hub", F.col("open") & (turn <= hubs))
+        now = cut(now.select("key", "id", "open", "hub", F.collect_list(F.when(F.col("hub"), F.col("id"))).over(bucket).alias("hubs")))
+        if not now.take(1):
+            return links
+        if held is None:
+            held = cut(texts.join(now.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text")))
+        asked = now.select("key", "id", "open", "hub", F.explode("hubs").alias("h")).select("key", "id", "open", "hub", F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+        ta, tb = held.select(F.col("id").alias("a"), F.col("text").alias("ta")), held.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        good = cut(asked.select("a", "b").filter("a <> b").distinct().join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}"))
+        links = good if links is None else links.union(good)
+        # buckets of up to ``hubs`` members are done; in others those that no hub took go on
+        big = asked.withColumn("still", F.col("open") & ~F.col("hub")).join(good.withColumn("hit", F.lit(True)), ["a", "b"], "left")
+        state = big.repartition("key").groupBy("key", "id").agg(F.max("still").alias("still"), F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
+        state = state.select("key", "id", (F.col("still") & ~F.col("hit")).alias("open"))
+        now = state.withColumn("any", F.max("open").over(bucket)).filter("any").drop("any")
+        hubs *= 8
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
