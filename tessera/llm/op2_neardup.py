@@ -5,10 +5,11 @@ For each of ``sketches`` hash functions the ``ell`` smallest labelled k-mers, ke
 value: equal values need equal k-mers in an equal order, which is close to edit similarity. Each value is a bucket key.
 
 Texts of equal words collapse to their smallest id first, so exact copies, however many, cost one aggregation.
-In a bucket no pairs are listed: up to eight members, the hubs, are compared with the others, one row each. Members that no
-hub of the bucket took are open; they give the next hubs, eight times as many, which are compared with all members.
-Rounds go on until no bucket has open members, so the rows grow with members times hubs needed, not with pairs: copies of
-one text need one hub, and only members unlike all others become hubs themselves.
+In a bucket no pairs are listed: up to eight members, the hubs, are compared with the others, one row each. Hubs are the
+members that meet most others in all buckets, so near copies of one text meet a hub close to that text. Members that no hub
+of the bucket took are open. For them it is counted how many of their k-mers occur in any other text that is left; a pair can
+reach the threshold only if either text has enough such k-mers for both lengths, and an open member is compared with
+those members alone for which this holds. So no pair is lost, and few are compared that are not links.
 
 A pair's k-mer sequences are aligned inside the band that the threshold leaves (matching runs at either end are cut off
 first; the core is a bit-parallel LCS). Similarity: aligned k-mers over all k-mers of both, the Jaccard index of k-mers
@@ -41,12 +42,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def order_minhash(words: np.ndarray, k: int, ell: int, seeds: np.ndarray) -> np.ndarray:
-    """One 64-bit value per seed for a sequence of word hashes (uint64)."""
+def _kmers(words: np.ndarray, k: int) -> np.ndarray:
     n = max(1, len(words) - k + 1)
-    kmers = np.zeros(n, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
     for i in range(min(k, len(words))):
-        kmers = _mix(kmers * _M1 + words[i : i + n])
+        out = _mix(out * _M1 + words[i : i + n])
+    return out
+
+
+def order_minhash(words: np.ndarray, k: int, ell: int, seeds: np.ndarray) -> np.ndarray:
+    """One 64-bit value per seed for a sequence of word hashes (uint64)."""
+    kmers = _kmers(words, k)
+    n = len(kmers)
     order = np.argsort(kmers, kind="stable")
     fresh = np.concatenate(([True], kmers[order][1:] != kmers[order][:-1]))
     place = np.arange(n)
@@ -159,17 +166,31 @@ def near_duplicates(
     cells = reps.filter("rep is not null").select(F.col("rep").alias("id"), F.posexplode("sk").alias("f", "v")).select(F.xxhash64("f", "v").alias("key"), "id")
     links = _links(cells, src.select("id", "text"), kind, k, threshold)
     named = reps.select("h1", "h2", "rep")
-    if links is None:
-        named = named.withColumn("class_id", F.col("rep"))
-    else:
-        named = named.join(connected(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("class", "rep"))
+    named = named.join(connected(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("class", "rep"))
     out = rows.select("id", "h1", "h2").join(named.select("h1", "h2", "class_id"), ["h1", "h2"])
     first = F.row_number().over(W.Window.partitionBy("id").orderBy("h1", "h2")) == 1  # among repeated rows
     return out.select("id", "class_id", (F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)) & first).alias("kept")).withColumnRenamed("id", id_col)
 
 
-def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: float, hubs: int = 8) -> DataFrame | None:
-    """(a, b) of verified pairs from bucket rows (key, id): rounds of hubs, as the module says; None without any."""
+def _shared(texts: DataFrame, kind: str, k: int) -> DataFrame:
+    """(id, n, c) of each text: its number of k-mers, and how many of them occur in any other of the texts."""
+    words = F.filter(F.split(F.lower("text"), _SPLIT, -1), lambda w: w != "")
+    hashed = texts.select("id", F.transform(words, lambda x: F.xxhash64(x)).alias("w"))
+
+    def cutter(batches):
+        for pdf in batches:
+            g = [_kmers(np.asarray(w, dtype=np.int64).view(np.uint64), k).view(np.int64) for w in pdf["w"]]
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in g], "g": g})
+
+    own = cut(hashed.mapInPandas(cutter, f"id {kind}, n long, g array<long>"))
+    each = own.select("id", F.explode("g").alias("g"))
+    both = each.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("g")
+    count = each.join(both, "g", "left_semi").groupBy("id").agg(F.count("*").alias("c"))
+    return own.select("id", "n").join(count, "id")
+
+
+def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: float, hubs: int = 8) -> DataFrame:
+    """(a, b) of verified pairs from bucket rows (key, id): first members with hubs, then open members with the rest."""
 
     def verify(batches):
         import re
@@ -180,27 +201,33 @@ def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: flo
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
     bucket = W.Window.partitionBy("key")
-    held = links = None
-    # open: not yet linked to a hub of the bucket, nor one itself
-    now = cells.withColumn("open", F.lit(True)).withColumn("n", F.count("*").over(bucket)).filter("n > 1").drop("n")
-    while True:
-        turn = F.row_number().over(W.Window.partitionBy("key").orderBy(F.col("open").desc(), F.xxhash64("id", "key"), "id"))
-        now = now.withColumn("hub", F.col("open") & (turn <= hubs))
-        now = cut(now.select("key", "id", "open", "hub", F.collect_list(F.when(F.col("hub"), F.col("id"))).over(bucket).alias("hubs")))
-        if not now.take(1):
-            return links
-        if held is None:
-            held = cut(texts.join(now.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text")))
-        asked = now.select("key", "id", "open", "hub", F.explode("hubs").alias("h")).select("key", "id", "open", "hub", F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-        ta, tb = held.select(F.col("id").alias("a"), F.col("text").alias("ta")), held.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        good = cut(asked.select("a", "b").filter("a <> b").distinct().join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}"))
-        links = good if links is None else links.union(good)
-        # buckets of up to ``hubs`` members are done; in others those that no hub took go on
-        big = asked.withColumn("still", F.col("open") & ~F.col("hub")).join(good.withColumn("hit", F.lit(True)), ["a", "b"], "left")
-        state = big.repartition("key").groupBy("key", "id").agg(F.max("still").alias("still"), F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
-        state = state.select("key", "id", (F.col("still") & ~F.col("hit")).alias("open"))
-        now = state.withColumn("any", F.max("open").over(bucket)).filter("any").drop("any")
-        hubs *= 8
+    base = cut(cells.withColumn("n", F.count("*").over(bucket)).filter("n > 1"))
+    central = base.groupBy("id").agg(F.sum("n").alias("rank"))
+    held = cut(texts.join(central.select("id"), "id").groupBy("id").agg(F.min("text").alias("text")))
+    ta, tb = held.select(F.col("id").alias("a"), F.col("text").alias("ta")), held.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+
+    def verified(asked: DataFrame) -> DataFrame:
+        return cut(asked.select("a", "b").filter("a <> b").distinct().join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}"))
+
+    turn = F.row_number().over(W.Window.partitionBy("key").orderBy(F.col("rank").desc(), "id"))
+    now = base.drop("n").join(central, "id").withColumn("hub", turn <= hubs)
+    now = cut(now.select("key", "id", "hub", F.collect_list(F.when(F.col("hub"), F.col("id"))).over(bucket).alias("hubs")))
+    asked = now.withColumn("h", F.explode("hubs")).select("key", "id", "hub", F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+    links = verified(asked)
+    # open: no hub, and no hub took it
+    hit = asked.join(links.withColumn("hit", F.lit(True)), ["a", "b"], "left")
+    state = hit.repartition("key").groupBy("key", "id").agg(F.max("hub").alias("hub"), F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
+    state = state.select("key", "id", (~F.col("hub") & ~F.col("hit")).alias("open"))
+    left = cut(state.withColumn("any", F.max("open").over(bucket)).filter("any").select("key", "id", "open"))
+    if not left.take(1):
+        return links
+    counts = _shared(held.join(left.select("id").distinct(), "id", "left_semi"), kind, k)
+    left = cut(left.join(counts, "id"))
+    x = left.filter("open").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    y = left.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
+    enough = F.least("cx", "cy") + F.lit(1e-6) >= F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny"))
+    rest = x.join(y, (x.key == y.key) & (F.col("x") != F.col("y")) & enough)
+    return links.union(verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
