@@ -69,7 +69,7 @@ def jaro_winkler(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [b[j] for j in range(len(b)) if taken[j]]
-    m, t = len(left), sum(x != y for x, y in zip(left, right)) / 2
+    m, t = len(left), sum(x != y for x, y in zip(left, right)) // 2
     jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
     prefix = next((i for i in range(min(4, len(a), len(b))) if a[i] != b[i]), min(4, len(a), len(b)))
     return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro

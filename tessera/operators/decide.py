@@ -21,7 +21,7 @@ def odds(p: Column) -> Column:
 
 def exclusive_posterior(d: DataFrame, k: float = 1.0) -> DataFrame:
     """Adds q: odds over k plus the sum of odds of all queries for the record."""
-    return d.withColumn("q", F.round(odds(F.col("p")) / (F.lit(k) + F.sum(odds(F.col("p"))).over(W.Window.partitionBy("r"))), 9))
+    return d.withColumn("q", odds(F.col("p")) / (F.lit(k) + F.sum(odds(F.col("p"))).over(W.Window.partitionBy("r"))))
 
 
 def ranked(d: DataFrame) -> DataFrame:
