@@ -226,7 +226,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     hosts.append(h)
                     paths.append(p)
                     votes.append(round(1_000_000 * s / top))
-            yield pd.DataFrame({"host": hosts, "path": paths, "vote": votes}).astype({"vote": "int64"})
+            yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "path": pd.Series(paths, dtype=object), "vote": pd.Series(votes, dtype="int64")})
 
     votes = src.select("host", "html").mapInPandas(vote, "host string, path string, vote long").groupBy("host", "path").agg(F.sum("vote").alias("votes"))
     order = F.struct(F.col("votes"), F.size(F.split("path", ">")).alias("depth"), F.col("path"))
@@ -245,7 +245,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     own = blocks(page, path)
                 used.append(path)
                 texts.append("\n\n".join(own))
-            yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "path": used, "text": texts})
+            yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"].astype(object), "path": pd.Series(used, dtype=object), "text": pd.Series(texts, dtype=object)})
 
     return pages.mapInPandas(read, f"id {kind}, url string, path string, text string").withColumnsRenamed({"id": id_col, "url": url_col})
 

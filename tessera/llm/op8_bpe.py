@@ -145,7 +145,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             for a in range(0, len(pdf), 256):
                 part = pdf.iloc[a : a + 256]
                 ids = [bpe.encode(t) for t in part["text"]]
-                yield pd.DataFrame({"id": part["id"], "ids": ids, "decoded": [bpe.decode(x) if with_text else None for x in ids]})
+                decoded = pd.Series([bpe.decode(x) if with_text else None for x in ids], dtype=object)
+                yield pd.DataFrame({"id": part["id"].reset_index(drop=True), "ids": ids, "decoded": decoded})
 
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
