@@ -17,6 +17,7 @@ the range partitions are the parts, seq counts chunks in a part. Where a part st
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -45,15 +46,17 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     at = np.arange(n)
     room = np.minimum(block - at % block, n - at)  # ids left in the block
     selector = np.full(n, ESCAPE, dtype=np.int8)
+    bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # at most one more than needed, from 2**53 on
     for s in range(ESCAPE - 1, -1, -1):  # later ones hold more ids
         c = int(COUNTS[s])
-        small = ids < np.uint64(1 << (60 // c))
+        small = bits <= 60 // c
         if c == 1:
             selector[small] = s
             continue
         if not small.any():
             break
-        bad = np.concatenate(([0], np.cumsum(~small)))
+        bad = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(~small, dtype=np.int32, out=bad[1:])
         fits = np.zeros(n, dtype=bool)
         if n >= c:
             fits[: n - c + 1] = bad[c:] == bad[: n - c + 1]
@@ -154,40 +157,86 @@ def read_file(path: str):
         yield chunk
 
 
+class _Words(dict):
+    """word -> number; a new word gets the next number and waits to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """The library's ids, word by word: the library encodes each distinct word once while the bounded cache lasts.
 
     Byte-level BPE handles the words of its pattern separately, so this changes no id. Texts with an added
     token, or with characters where the pattern's classes and those of ``re`` differ, go to the library whole.
+    A word's ids lie one after the other in one array, from which all texts of a batch are gathered at once.
     """
 
     _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
     _PLAIN = re.compile(r"[\x00-\x08\t-\r -~À-ÖØ-öø-ɏ]*\Z")
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache: dict[str, list[int]] = {}
         self.cache_words = cache_words
+        self._clear()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        cut = [self._WORD.findall(t) if self._PLAIN.match(t) and not any(a in t for a in self.added) else None for t in texts]
-        new = list({w for ws in cut if ws is not None for w in ws}.difference(self.cache))
+    def _clear(self) -> None:
+        self.known = _Words()
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.store = np.zeros(0, dtype=np.uint64)
+
+    def _learn(self) -> None:
+        new, self.known.new = self.known.new, []
+        starts, sizes, stores, at = [self.starts], [self.sizes], [self.store], len(self.store)
         for a in range(0, len(new), 10_000):
             part = new[a : a + 10_000]
             got = self.lib.encode(part, is_pretokenized=True, add_special_tokens=False)
-            lists: list[list[int]] = [[] for _ in part]
-            for i, w in zip(got.ids, got.word_ids):
-                lists[w].append(i)
-            self.cache.update(zip(part, lists))
-        cache = self.cache
-        return [[i for w in ws for i in cache[w]] if ws is not None else self.lib.encode(t, add_special_tokens=False).ids for t, ws in zip(texts, cut)]
+            n = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part))
+            starts.append(at + np.cumsum(n) - n)
+            sizes.append(n)
+            stores.append(np.array(got.ids, dtype=np.uint64))
+            at += len(stores[-1])
+        self.starts, self.sizes, self.store = np.concatenate(starts), np.concatenate(sizes), np.concatenate(stores)
+
+    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """Each text's ids with the end id."""
+        if len(self.known) > self.cache_words:
+            self._clear()
+        out: list[np.ndarray] = []
+        words: list[str] = []
+        counts: list[int] = []
+        whole: dict[int, np.ndarray] = {}
+        for k, t in enumerate(texts):
+            if self._PLAIN.match(t) and not any(a in t for a in self.added):
+                own = self._WORD.findall(t)
+                words += own
+                counts.append(len(own))
+            else:
+                whole[k] = np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=np.uint64)
+                counts.append(0)
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn()
+        sizes = self.sizes[number]
+        stops = np.cumsum(sizes)
+        ids = self.store[np.repeat(self.starts[number] - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        edges = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts)))]
+        end = np.array([end_id], dtype=np.uint64)
+        for k in range(len(texts)):
+            out.append(np.concatenate((whole[k] if k in whole else ids[edges[k] : edges[k + 1]], end)))
+        return out
 
 
 def default_path() -> str:
@@ -196,6 +245,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process, so that later tasks know the words of earlier ones."""
+    return Encoder(path)
+
+
 def write(df: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, chunk_ids: int = 1 << 17) -> None:
     """Encode the texts, each with ``end_id`` appended, and write them in ascending id order to the folder ``to``.
 
@@ -205,7 +260,7 @@ def write(df: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text"
     src = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def run(batches):
-        enc = Encoder(path or default_path())
+        enc = _encoder(path or default_path())
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         names: list = []
         docs: list[np.ndarray] = []
@@ -221,10 +276,9 @@ def write(df: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text"
         for pdf in batches:
             for a in range(0, len(pdf), 128):
                 own = pdf.iloc[a : a + 128]
-                for d, ids in zip(own["id"], enc.encode(own["text"].tolist())):
-                    ids.append(end_id)
+                for d, ids in zip(own["id"], enc.encode(own["text"].tolist(), end_id)):
                     names.append(d)
-                    docs.append(np.array(ids, dtype=np.uint64))
+                    docs.append(ids)
                     size += len(ids)
                     if size >= chunk_ids:
                         yield chunk()
