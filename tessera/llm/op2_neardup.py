@@ -5,7 +5,7 @@ For each of ``sketches`` hash functions the ``ell`` smallest labelled k-mers, ke
 value: equal values need equal k-mers in an equal order, which is close to edit similarity. Each value is a bucket key.
 
 Texts of equal words collapse to their smallest id first, so exact copies, however many, cost one aggregation.
-In a bucket no pairs are listed: up to eight members, the hubs, are compared with the others, one row each. Hubs are the
+In a bucket no pairs are listed: up to four members, the hubs, are compared with the others, one row each. Hubs are the
 members that meet most others in all buckets, so near copies of one text meet a hub close to that text. Members that no hub
 of the bucket took are open. For them it is counted how many of their k-mers occur in any other text that is left; a pair can
 reach the threshold only if either text has enough such k-mers for both lengths, and an open member is compared with
@@ -189,7 +189,7 @@ def _shared(texts: DataFrame, kind: str, k: int) -> DataFrame:
     return own.select("id", "n").join(count, "id")
 
 
-def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: float, hubs: int = 8) -> DataFrame:
+def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: float, hubs: int = 4) -> DataFrame:
     """(a, b) of verified pairs from bucket rows (key, id): first members with hubs, then open members with the rest."""
 
     def verify(batches):
