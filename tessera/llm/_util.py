@@ -29,5 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written as a table of the shared folder and read back.
+
+    A checkpoint carries on its plan's size estimate, in which each join multiplies; over many rounds that number itself
+    becomes too long to handle. A table's size is that of its files. For small results of iterations.
+    """
+    at = shared_path(df.sparkSession, kind)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

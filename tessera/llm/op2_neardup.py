@@ -5,11 +5,12 @@ For each of ``sketches`` hash functions the ``ell`` smallest labelled k-mers, ke
 value: equal values need equal k-mers in an equal order, which is close to edit similarity. Each value is a bucket key.
 
 Texts of equal words collapse to their smallest id first, so exact copies, however many, cost one aggregation.
-In a bucket no pairs are listed: up to four members, the hubs, are compared with the others, one row each. Hubs are the
-members that meet most others in all buckets, so near copies of one text meet a hub close to that text. Members that no hub
-of the bucket took are open. For them it is counted how many of their k-mers occur in any other text that is left; a pair can
+In a bucket no pairs are listed: one member, the first hub, is compared with the others, one row each, then up to three
+more hubs with those that are not, like the hub itself, linked with the first. Hubs are the members that meet most others in all
+buckets, so near copies of one text meet a hub close to that text. Members that are then not of the first hub's class are
+open. For them it is counted how many of their k-mers occur in any other text that is left; a pair can
 reach the threshold only if either text has enough such k-mers for both lengths, and an open member is compared with
-those members alone for which this holds. So no pair is lost, and few are compared that are not links.
+those members of other classes alone for which this holds. So no class is left apart, and few pairs are compared that are not links.
 
 A pair's k-mer sequences are aligned inside the band that the threshold leaves (matching runs at either end are cut off
 first; the core is a bit-parallel LCS). Similarity: aligned k-mers over all k-mers of both, the Jaccard index of k-mers
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ._util import cut, table
+from ._util import cut, stored, table
 
 NAME = "op2_neardup"
 
@@ -116,23 +117,24 @@ def connected(edges: DataFrame) -> DataFrame:
     Each round sends a node to the neighbour (or itself) with the smallest hash under the round's seed and contracts the
     edges; the number of nodes falls geometrically, whatever the shape. Hot nodes are summed up before shuffles.
     """
-    left = cut(edges.select("a", "b").filter("a <> b").distinct())
+    left = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     steps: list[DataFrame] = []
     while left.take(1):
         k = len(steps)
         both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
         near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("h"), F.col("b").alias("v"))).alias("m"))
         own = F.struct(F.xxhash64("a", F.lit(k)).alias("h"), F.col("a").alias("v"))
-        goes = cut(near.select("a", F.least("m", own)["v"].alias("next")))
+        goes = stored(near.select("a", F.least("m", own)["v"].alias("next")), "goes")
         to_a, to_b = goes.select("a", F.col("next").alias("ta")), goes.select(F.col("a").alias("b"), F.col("next").alias("tb"))
-        left = cut(left.join(to_a, "a").join(to_b, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct())
+        joined = left.join(to_a, "a").join(to_b, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+        left = stored(joined.filter("a <> b").distinct(), "edges")
         steps.append(goes)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).limit(0)
     names = steps[0].select(F.col("a").alias("node"), F.col("next").alias("at"))
     for goes in steps[1:]:
         names = names.join(goes, F.col("at") == F.col("a"), "left").select("node", F.coalesce("next", "at").alias("at"))
-    names = cut(names)
+    names = stored(names, "names")
     least = names.groupBy("at").agg(F.min("node").alias("class"))
     return names.join(least, "at").select("node", "class")
 
@@ -206,28 +208,37 @@ def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: flo
     held = cut(texts.join(central.select("id"), "id").groupBy("id").agg(F.min("text").alias("text")))
     ta, tb = held.select(F.col("id").alias("a"), F.col("text").alias("ta")), held.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
-    def verified(asked: DataFrame) -> DataFrame:
-        return cut(asked.select("a", "b").filter("a <> b").distinct().join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}"))
+    def verified(asked: DataFrame, besides: DataFrame | None = None) -> DataFrame:
+        pairs = asked.select("a", "b").filter("a <> b").distinct()
+        pairs = pairs if besides is None else pairs.join(besides.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        return cut(pairs.join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}"))
 
+    pair = (F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
     turn = F.row_number().over(W.Window.partitionBy("key").orderBy(F.col("rank").desc(), "id"))
-    now = base.drop("n").join(central, "id").withColumn("hub", turn <= hubs)
-    now = cut(now.select("key", "id", "hub", F.collect_list(F.when(F.col("hub"), F.col("id"))).over(bucket).alias("hubs")))
-    asked = now.withColumn("h", F.explode("hubs")).select("key", "id", "hub", F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-    links = verified(asked)
-    # open: no hub, and no hub took it
-    hit = asked.join(links.withColumn("hit", F.lit(True)), ["a", "b"], "left")
-    state = hit.repartition("key").groupBy("key", "id").agg(F.max("hub").alias("hub"), F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
-    state = state.select("key", "id", (~F.col("hub") & ~F.col("hit")).alias("open"))
-    left = cut(state.withColumn("any", F.max("open").over(bucket)).filter("any").select("key", "id", "open"))
+    now = base.drop("n").join(central, "id").withColumn("turn", turn)
+    now = cut(now.select("key", "id", "turn", F.max(F.when(F.col("turn") == 1, F.col("id"))).over(bucket).alias("h")))
+    first = now.select("key", "id", "turn", "h", *pair)
+    links = verified(first)
+    near = first.join(links.withColumn("hit", F.lit(True)), ["a", "b"], "left").select("key", "id", "turn", F.coalesce("hit", F.col("turn") == 1).alias("near"))
+    # two members that the first hub took are of one class: other hubs need not compare them
+    others = F.collect_list(F.when(F.col("turn").between(2, hubs), F.struct(F.col("id").alias("h"), F.col("near").alias("too")))).over(bucket)
+    second = near.withColumn("hubs", others).select("id", "near", F.inline("hubs")).filter(~(F.col("near") & F.col("too")))
+    links = links.union(verified(second.select(*pair), first))
+    # open: not of the first hub's class
+    named = connected(links).select(F.col("node").alias("id"), "class")
+    left = now.join(named, "id", "left").select("key", "id", "turn", F.coalesce("class", "id").alias("of"))
+    left = left.withColumn("open", F.col("of") != F.max(F.when(F.col("turn") == 1, F.col("of"))).over(bucket))
+    left = cut(left.withColumn("any", F.max("open").over(bucket)).filter("any").select("key", "id", "of", "open"))
     if not left.take(1):
         return links
     counts = _shared(held.join(left.select("id").distinct(), "id", "left_semi"), kind, k)
     left = cut(left.join(counts, "id"))
-    x = left.filter("open").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = left.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
+    x = left.filter("open").select("key", F.col("id").alias("x"), F.col("of").alias("ofx"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    y = left.select("key", F.col("id").alias("y"), F.col("of").alias("ofy"), F.col("open").alias("oy"), F.col("n").alias("ny"), F.col("c").alias("cy"))
     enough = F.least("cx", "cy") + F.lit(1e-6) >= F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny"))
-    rest = x.join(y, (x.key == y.key) & (F.col("x") != F.col("y")) & enough)
-    return links.union(verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+    rest = x.join(y, (x.key == y.key) & (F.col("ofx") != F.col("ofy")) & (~F.col("oy") | (F.col("x") < F.col("y"))) & enough)
+    asked = first.select("a", "b").union(second.select(*pair))
+    return links.union(verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), asked))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
