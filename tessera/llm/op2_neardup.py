@@ -8,9 +8,10 @@ Texts of equal words collapse to their smallest id first, so exact copies, howev
 In a bucket no pairs are listed: one member, the first hub, is compared with the others, one row each, then up to three
 more hubs with those that are not, like the hub itself, linked with the first. Hubs are the members that meet most others in all
 buckets, so near copies of one text meet a hub close to that text. Members that are then not of the first hub's class are
-open. For them it is counted how many of their k-mers occur in any other text that is left; a pair can
-reach the threshold only if either text has enough such k-mers for both lengths, and an open member is compared with
-those members of other classes alone for which this holds. So no class is left apart, and few pairs are compared that are not links.
+open. For them it is counted how many of their k-mers occur in any other text that is left, in ``_CELLS`` cells by the
+k-mer's hash. Two texts have no more k-mers in common than the sum over cells of the smaller count; an open member is compared with
+those members of other classes alone for which that sum reaches the threshold for both lengths. So no class is left apart, and few
+pairs are compared that are not links.
 
 A pair's k-mer sequences are aligned inside the band that the threshold leaves (matching runs at either end are cut off
 first; the core is a bit-parallel LCS). Similarity: aligned k-mers over all k-mers of both, the Jaccard index of k-mers
@@ -33,6 +34,7 @@ from ._util import cut, stored, table
 NAME = "op2_neardup"
 
 _SPLIT = r"[^\p{L}\p{N}]+"
+_CELLS = 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -175,7 +177,7 @@ def near_duplicates(
 
 
 def _shared(texts: DataFrame, kind: str, k: int) -> DataFrame:
-    """(id, n, c) of each text: its number of k-mers, and how many of them occur in any other of the texts."""
+    """(id, n, c, cells) of each text: its number of k-mers, how many of them occur in any other of the texts, and these by cell."""
     words = F.filter(F.split(F.lower("text"), _SPLIT, -1), lambda w: w != "")
     hashed = texts.select("id", F.transform(words, lambda x: F.xxhash64(x)).alias("w"))
 
@@ -186,9 +188,11 @@ def _shared(texts: DataFrame, kind: str, k: int) -> DataFrame:
 
     own = cut(hashed.mapInPandas(cutter, f"id {kind}, n long, g array<long>"))
     each = own.select("id", F.explode("g").alias("g"))
-    both = each.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("g")
-    count = each.join(both, "g", "left_semi").groupBy("id").agg(F.count("*").alias("c"))
-    return own.select("id", "n").join(count, "id")
+    both = cut(each.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("g"))
+    count = each.join(both, "g", "left_semi").groupBy("id", F.pmod("g", F.lit(_CELLS)).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("c"))
+    count = count.groupBy("id").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("by"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(_CELLS - 1)), lambda i: F.coalesce(F.col("by")[i], F.lit(0)))
+    return own.select("id", "n").join(count.select("id", "c", cells.alias("cells")), "id")
 
 
 def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: float, hubs: int = 4) -> DataFrame:
@@ -233,9 +237,11 @@ def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: flo
         return links
     counts = _shared(held.join(left.select("id").distinct(), "id", "left_semi"), kind, k)
     left = cut(left.join(counts, "id"))
-    x = left.filter("open").select("key", F.col("id").alias("x"), F.col("of").alias("ofx"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = left.select("key", F.col("id").alias("y"), F.col("of").alias("ofy"), F.col("open").alias("oy"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    enough = F.least("cx", "cy") + F.lit(1e-6) >= F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny"))
+    x = left.filter("open").select("key", F.col("id").alias("x"), F.col("of").alias("ofx"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("cells").alias("sx"))
+    y = left.select("key", F.col("id").alias("y"), F.col("of").alias("ofy"), F.col("open").alias("oy"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("cells").alias("sy"))
+    least = F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny")) - F.lit(1e-6)
+    common = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    enough = (F.least("cx", "cy") >= least) & (common >= least)
     rest = x.join(y, (x.key == y.key) & (F.col("ofx") != F.col("ofy")) & (~F.col("oy") | (F.col("x") < F.col("y"))) & enough)
     asked = first.select("a", "b").union(second.select(*pair))
     return links.union(verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), asked))
