@@ -246,9 +246,10 @@ pool as (select s1, r, coalesce(max(sc) filter (arm = 0), 0)::bigint as sc, min(
 
 
 def _parts(spark, sf):
-    r, q = _plain_units(_nrec(spark, sf)).persist(), _plain_units(_nq(spark, sf)).persist()  # normalised once
-    ix, qx = blocking.tokens(r, only=_USED), blocking.tokens(q, True, only=_USED)
-    return r, q, ix, qx, blocking.idf(ix, r, df_cap=400)
+    """Index and queries of all arms, with units and the default caps; the SQL above holds five arms, no units and df <= 400."""
+    r, q = _nrec(spark, sf).persist(), _nq(spark, sf).persist()  # normalised once
+    ix, qx = blocking.tokens(r), blocking.tokens(q, True)
+    return r, q, ix, qx, blocking.idf(ix, r)
 
 
 def _pool(spark, sf):

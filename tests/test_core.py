@@ -9,6 +9,8 @@ from tessera.functions import text as X
 from tessera.operators import artifacts, blocking, decide, features, metrics, model, normalize
 from tessera.sources import io
 
+WORDS = [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("lm", "rt", "ns")]
+
 
 def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first().x
@@ -140,3 +142,35 @@ def test_entry_without_extras():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "block_pool" in e.queries()
+
+
+def test_registered_index_is_whole(spark, monkeypatch):
+    import math
+    from collections import Counter, defaultdict
+
+    from tessera import catalog
+
+    cols = "entity_id string, business_name string, business_address string, country string, k long"
+    recs = [(f"S2-{i:03d}", f"common {WORDS[i % 7]}{WORDS[i // 7 % 70]}", None if i % 5 == 0 else f"{100 + i} Oak Street, apt 4b", "US", i) for i in range(450)]
+    asked = [(f"S1-{i:03d}", *recs[i][1:]) for i in range(0, 450, 45)]
+    monkeypatch.setattr(catalog.FX, "records", lambda *_: spark.createDataFrame(recs, cols))
+    monkeypatch.setattr(catalog.FX, "s1", lambda *_: spark.createDataFrame(asked, cols))
+    found = catalog.queries()
+    index = {(x.arm, x.t): (x.df, x.idf) for x in found["block_index"](spark, "").collect()}
+    assert index[0, "n:common"][0] == 450 and (0, "u:apt4b") in index and {arm for arm, _ in index} == set(blocking.CAPS)
+
+    own = defaultdict(set)
+    for x in blocking.tokens(catalog._nrec(spark, "")).collect():
+        own[x.arm, x.t].add(x.id)
+    want = {k: (len(v), round((math.log(450) - math.log(len(v))) * 1024)) for k, v in own.items() if len(v) <= (200 if k[0] == 4 else 2000)}
+    assert index == want
+    score = Counter()
+    for x in blocking.tokens(catalog._nq(spark, ""), query=True).collect():
+        for r in own[x.arm, x.t] if (x.arm, x.t) in want else ():
+            score[x.id, x.arm, r] += want[x.arm, x.t][1]
+    by = defaultdict(list)
+    for (s1, arm, r), sc in score.items():
+        by[s1, arm].append((-sc, r))
+    rows = {(s1, r, arm, -sc, rk) for (s1, arm), v in by.items() for rk, (sc, r) in enumerate(sorted(v)[: blocking.CAPS[arm]], 1)}
+    assert rows == {(x.s1, x.r, x.arm, x.sc, x.rk) for x in found["block_retrieve"](spark, "").collect()}
+    assert {(s1, r) for s1, r, *_ in rows} == {(x.s1, x.r) for x in found["block_pool"](spark, "").collect()}
