@@ -7,7 +7,8 @@ Two families of spans over a text, in code points, end exclusive:
 * entropy spans: a window slides over each candidate string of a character class; counts per character are updated
   by one addition and one removal a step, and with them the sum of c*log2(c), so that the Shannon entropy of the
   window costs nothing to renew. Windows at or over the threshold of the class merge into spans. A candidate that an
-  allow-list pattern matches gives none, nor does a span that overlaps a base span.
+  allow-list pattern matches gives none, nor does a span that base spans cover wholly; one that they cover in part stays
+  as it is, and ``redacted`` masks overlapping spans as one.
 
 ``split`` and ``regexp_extract_all`` with one pattern give the pieces between matches and the matches; summed lengths
 give their places. Nothing is shuffled and no Python runs on executors.
@@ -182,7 +183,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=
 
     any_class = F.exists(F.array(*(F.size(c.name) for c in classes)), lambda n: n > 0)
     src = src.select("id", "text", "base", F.when(any_class, F.concat(*(entropy(i, c) for i, c in enumerate(classes)))).alias("more"))
-    more = F.filter(F.coalesce(F.col("more"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    more = F.filter(
+        F.coalesce(F.col("more"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")),
+        lambda s: F.aggregate(base, s["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)) < s["end"],
+    )
     return src.select(F.col("id").alias(id_col), "text", "base", F.array_sort(F.concat(base, more)).alias("spans"))
 
 

@@ -40,6 +40,19 @@ def test_secrets(spark):
     assert got[0].red == "" and got[5].red == texts[5]
 
 
+def test_secret_joined_to_a_base_span(spark):
+    rnd = "fK2xLq8Zp0VtR4mWc7YbN1dGh3"
+    key = "AKIA" + "Q1" * 8
+    hexes = "3f9a1c7be2d804561f0c9ab27e5d3846"
+    texts = [f"id 745102938475610293-{rnd} ok", f"{key}/{rnd}.", f"{rnd}_{'7451029384756102'} {hexes}", f"token={hexes}"]
+    rows = o1.scan(docs(spark, texts)).select("doc_id", "base", "spans", o1.joined(F.col("spans")).alias("at"), o1.redacted(F.col("text"), F.col("spans")).alias("red"))
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got[0].base[0].kind == "hex" and got[0].red == "id [SECRET] ok"
+    assert {s.kind for s in got[1].spans} == {"access", "entropy_base64"} and got[1].red == "[SECRET]."
+    assert rnd[8:] not in got[2].red and got[2].red.endswith(" [SECRET]")
+    assert got[3].at == "assign:0:38,hex:6:38"  # covered wholly by base spans
+
+
 def test_entropy_is_recomputed_entropy(spark):
     rng = np.random.default_rng(3)
     cls = o1.CLASSES[1]
