@@ -26,7 +26,8 @@ NAME = "op4_html"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# one attribute: its name, then its value whole, so that neither is looked for inside the other
+_ATTR = re.compile(r"(=?[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*+)))?")
 _RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -37,6 +38,9 @@ _BOILER_WORD = set(
     "footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "commentlist disqus respond reply replies widget toolbar pagination pager copyright skip".split()
 )
+# parts that hold articles of their own; other boilerplate words may as well name a wrapper of the page's article
+_OTHERS_WORD = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion related recommended recommendations comment comments commentlist disqus respond reply replies".split())
+_STATE = re.compile(r"(?:has|with|no|without)[-_]", re.I)
 _GOOD_WORD = {"content", "article", "post", "entry", "story", "main", "text", "body"}
 _CONTAINER = {"body", "article", "main", "section", "div", "td"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -49,6 +53,7 @@ class Node:
     path: str
     weight: float  # 0: no container
     boiler: bool
+    firm: bool  # boilerplate for an article or main inside, too
     link: bool
     start: int
     end: int = -1
@@ -64,30 +69,39 @@ class Page:
     link: list[bool] = field(default_factory=list)
 
 
-def _describe(tag: str, attrs: str) -> tuple[str, float, bool]:
-    """Path step, weight as a container, whether it is boilerplate."""
+def _describe(tag: str, attrs: str, by_word: bool = True) -> tuple[str, float, bool, bool, bool]:
+    """Path step, weight as a container, whether it is boilerplate, for articles inside too, and whether it is an article or main.
+
+    Class words make boilerplate only where ``by_word``; those of a state, as in has-sidebar, never do.
+    """
     found = {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
     classes = found.get("class", "").split()
     words = {w for w in re.split(r"[^a-z]+", " ".join([*classes, found.get("id", "")]).lower()) if w}
     role = found.get("role", "").lower()
-    boiler = tag in _BOILER or role in _BOILER_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-    if not boiler and words and tag not in ("html", "body", "article", "main") and role != "main":
-        boiler = not words.isdisjoint(_BOILER_WORD)
-    elif not boiler and tag == "article":
-        boiler = not words.isdisjoint({"comment", "comments", "ad", "ads", "related", "promo", "sponsored"})
+    firm = boiler = tag in _BOILER or role in _BOILER_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    if by_word and not boiler and words:
+        named = {w for x in [*classes, found.get("id", "")] if not _STATE.match(x) for w in re.split(r"[^a-z]+", x.lower())}
+        if tag not in ("html", "body", "article", "main") and role != "main":
+            boiler = not named.isdisjoint(_BOILER_WORD)
+            firm = not named.isdisjoint(_OTHERS_WORD)
+        elif tag == "article":
+            firm = boiler = not named.isdisjoint({"comment", "comments", "ad", "ads", "related", "promo", "sponsored"})
     name = re.sub(r"\d+", "", tag + "".join(f".{c}" for c in sorted(classes)))
     weight = {"article": 2.0, "body": 0.6, "td": 0.9}.get(tag, 1.0) if tag in _CONTAINER else 0.0
     if tag == "main" or role == "main":
         weight = 1.8
     elif tag in ("div", "section") and not words.isdisjoint(_GOOD_WORD):
         weight = 1.5
-    return name, weight, boiler
+    return name, weight, boiler, firm, tag in ("article", "main") or role == "main"
+
 
+def parse(source: str, by_word: bool = True) -> Page:
+    """One pass over the page; end tags may be missing or misplaced, a truncated last tag is markup.
 
-def parse(source: str) -> Page:
-    """One pass over the page; end tags may be missing or misplaced, a truncated last tag is markup."""
+    Boilerplate is inherited, but an article or main inside an element that only a class word calls so is none.
+    """
     page = Page()
-    page.nodes.append(Node("html", "html", 0.0, False, False, 0))
+    page.nodes.append(Node("html", "html", 0.0, False, False, False, 0))
     stack = [page.nodes[0]]
 
     def say(text: str) -> None:
@@ -130,7 +144,7 @@ def parse(source: str) -> Page:
             continue
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
-        name, weight, boiler = _describe(tag, m[3] or m[6] or "")
+        name, weight, boiler, firm, main = _describe(tag, m[3] or m[6] or "", by_word)
         if tag not in _INLINE and tag not in _VOID:
             for depth in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block starts
                 if stack[depth].tag == "p":
@@ -154,7 +168,8 @@ def parse(source: str) -> Page:
             continue
         if tag not in _INLINE:
             edge()
-        node = Node(tag, f"{up.path}>{name}" if tag not in _INLINE else up.path, 0.0 if up.boiler or boiler else weight, up.boiler or boiler, up.link or tag == "a", len(page.events))
+        boiler = boiler or (up.firm if main else up.boiler)
+        node = Node(tag, f"{up.path}>{name}" if tag not in _INLINE else up.path, 0.0 if boiler else weight, boiler, up.firm or firm, up.link or tag == "a", len(page.events))
         page.nodes.append(node)
         stack.append(node)
         if tag in _RAW:
@@ -178,6 +193,17 @@ def scores(page: Page) -> dict[str, float]:
     return out
 
 
+def read_page(source: str) -> tuple[Page, dict[str, float]]:
+    """The page and its scores; class words are no boilerplate on a page that has no text otherwise."""
+    page = parse(source)
+    found = scores(page)
+    if not found and not any(t is not None and not skip and t.strip() for t, skip in zip(page.events, page.boiler)):
+        other = parse(source, by_word=False)
+        if again := scores(other):
+            return other, again
+    return page, found
+
+
 def blocks(page: Page, path: str | None) -> list[str]:
     """The text blocks of the elements at the path, in page order; all blocks of the page for None."""
     out: list[str] = []
@@ -220,7 +246,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         for pdf in batches:
             hosts, paths, votes = [], [], []
             for h, source in zip(pdf["host"], pdf["html"]):
-                found = scores(parse(source))
+                found = read_page(source)[1]
                 top = max(found.values(), default=0)
                 for p, s in found.items():
                     hosts.append(h)
@@ -238,10 +264,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         for pdf in batches:
             used, texts = [], []
             for path, source in zip(pdf["path"], pdf["html"]):
-                page = parse(source)
+                page, found = read_page(source)
                 own = blocks(page, path) if isinstance(path, str) else []
                 if not own:
-                    path = best(scores(page))
+                    path = best(found)
                     own = blocks(page, path)
                 used.append(path)
                 texts.append("\n\n".join(own))

@@ -133,6 +133,22 @@ def test_html(spark):
     assert got[4].startswith("unclosed")
 
 
+def test_html_attributes_and_wrappers(spark):
+    article = "<article><p>Main text of the page</article>"
+    wraps = [
+        ("<body style='overflow:hidden'>", article), ('<body title="hidden gem" data-hidden=no>', article), ("<div class='has-sidebar'>", article), ("<div id=menu-content>", article),
+        ("<div class='page has-sidebar'>", "<p>Main text of the page</div><p>x"), ("<div class='menu page'>", "<p>Main text of the page"), ("<div class='widget layout'>", "<main><p>Main text of the page</main></div>"),
+    ]
+    drops = ["<div hidden>", "<div class=x HIDDEN=''>", "<div aria-hidden=true>", '<div id="sidebar" width=9 data-video=y>', "<div class=related><article>", "<div class='a hidden' hidden><article>"]
+    pages = [f"<html>{a}{b}" for a, b in wraps] + [f"<body>{article}{d}<p>other words</div>" for d in drops]
+    rows = [(i, f"http://h{i}.com/1", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in o4.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].startswith("Main text of the page") for i in range(len(pages)))
+    for d in drops:  # on the whole page too
+        page, _ = o4.read_page(f"<body><p>Main text{d}<p>other words</div>")
+        assert o4.blocks(page, None) == ["Main text"]
+
+
 def test_simple8b(spark, tmp_path):
     rng = np.random.default_rng(6)
     for n in (0, 1, 59, 60, 5000, 12345):
