@@ -68,7 +68,7 @@ def order_minhash(words: np.ndarray, k: int, ell: int, seeds: np.ndarray) -> np.
     for a in range(0, len(seeds), step):
         h = _mix(labelled[None, :] ^ seeds[a : a + step, None])
         best = np.sort(np.argpartition(h, ell - 1, axis=1)[:, :ell], axis=1) if n > ell else np.broadcast_to(place, h.shape)
-        value = np.full(len(h), n if n <= ell else 0, dtype=np.uint64)
+        value = np.full(len(h), n if n < ell else 0, dtype=np.uint64)  # ell k-mers in all may be the smallest of a longer text
         for c in range(best.shape[1]):
             value = _mix(value * _M1 + labelled[best[:, c]])
         out[a : a + step] = value
@@ -148,7 +148,8 @@ def near_duplicates(
 
     Rows of equal words are one class; texts without words (null, empty, signs only) are equal where their characters are.
     Repeated rows (equal id and text) have equal results, of which all but one are not kept. A row with a null id takes the class of its text, or null.
-    ``sketches`` and ``ell`` set the recall: at similarity s about 1 - (1 - s**ell)**sketches a pair.
+    ``sketches`` and ``ell`` set the recall: at similarity s about 1 - (1 - s**ell)**sketches a pair. A text of fewer than ``ell``
+    k-mers meets only those of as many; at the default values such a pair of unequal length is below the threshold anyway.
     Columns other than the two named are not read.
     """
     rng = np.random.default_rng(seed)

@@ -91,6 +91,16 @@ def test_near_duplicates(spark):
     assert o2.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_four_and_five_kmers(spark):
+    texts = []
+    for i in range(20):
+        w = WORDS[9 * i : 9 * i + 9]
+        assert o2.similarity(w[:8], w, 5, 0.8) == o2.similarity(w[1:], w, 5, 0.8) == 0.8
+        texts += [" ".join(w[1:] if i % 2 else w[:8]), " ".join(w)]
+    got = {r.doc_id: r.class_id for r in o2.near_duplicates(docs(spark, texts)).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(20)) >= 17  # 0.97 of the pairs on average
+
+
 def test_similarity_is_lcs():
     rng = np.random.default_rng(5)
     for _ in range(60):
