@@ -5,9 +5,9 @@ are bytes from 0x80, so one table maps a text's bytes to lower-case letters, dig
 of ten consecutive words of a benchmark item (all words of a shorter item) is a pattern; word starts and ends are
 marked by single spaces. Matches give hit words, hit words give places in the original text.
 
-The benchmark is measured first. It is cut by a hash of the item id into blocks of at most ``block_bytes``; for
+The benchmark is measured first. It is cut by a hash of the items into blocks of about ``block_bytes``; for
 each block an automaton is built on the executors from the broadcast block, whose size is thus bounded. With
-more than one block a document's parts are joined by doc_id at the end.
+more than one block each row gets a key of its own, by which its parts are joined at the end.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import cut, table
 
 NAME = "op3_decontaminate"
 
@@ -72,63 +72,79 @@ def scan_text(auto, text: str | None) -> tuple[int, np.ndarray, set]:
     return len(words), np.flatnonzero(np.cumsum(edge[:-1]) > 0), ids
 
 
-def spans_of(text: str, hits: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of hit words as code-point spans of the original text."""
+def spans_of(text: str, hits: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Runs of hit words: code-point span in the original text, places of the first and last word."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     word = np.frombuffer(_MAP, dtype=np.uint8)[raw] != 32
     at = np.cumsum((raw & 0xC0) != 0x80)  # code points up to and with this byte
     edge = np.diff(np.concatenate(([0], word.astype(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     runs = np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1)
-    return [(int(at[starts[r[0]]] - 1), int(at[ends[r[-1]] - 1])) for r in runs if len(r)]
+    return [(int(at[starts[r[0]]] - 1), int(at[ends[r[-1]] - 1]), int(r[0]), int(r[-1])) for r in runs if len(r)]
+
+
+def _merged(runs: Column) -> Column:
+    """Spans of the runs (first, last, start, end) of all blocks; runs that overlap or follow each other make one."""
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.get(a, F.size(a) - 1)
+        more = F.struct(F.greatest(last["last"], x["last"]).alias("last"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        fresh = F.struct(x["last"].alias("last"), x["start"].alias("start"), x["end"].alias("end"))
+        near = (F.size(a) > 0) & (x["first"] <= last["last"] + 1)
+        return F.when(near, F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(a, F.array(fresh)))
+
+    none = F.array().cast("array<struct<last:long,start:long,end:long>>")
+    return F.transform(F.aggregate(F.array_sort(runs), none, step), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """(id, n_words, hits, spans, items): hit words' places, their spans in the original text, item ids as strings.
 
-    Null and empty texts have no words and no hits; items without words have no window. Repeated rows give a result each
-    where one block holds the benchmark, and one for all where more are needed (they differ in nothing then but count once).
-    A row with a null id is scanned like any other.
+    Null and empty texts have no words and no hits; items without words have no window. Repeated rows and rows with a null id
+    give a result each, whatever the number of blocks. Items with a null id count as one item, a null at the end of ``items``.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words long, hits array<long>, spans array<struct<start:long,end:long>>, items array<string>"
+    if blocks > 1:  # stored, so that each block sees equal keys
+        src = cut(src.withColumn("key", F.monotonically_increasing_id()))
+    keep = [c for c in src.columns if c != "text"]
+    kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{kinds}, n_words long, hits array<long>, runs array<struct<first:long,last:long,start:long,end:long>>, items array<string>"
     parts = []
     for b in range(blocks):
-        own = [(x.item, x.text) for x in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
+        own = [(x.item, x.text) for x in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
         sent = spark.sparkContext.broadcast(own)
 
         def run(batches, sent=sent):
             auto = build(sent.value, width)
             for pdf in batches:
-                out: dict[str, list] = {"n_words": [], "hits": [], "spans": [], "items": []}
+                out: dict[str, list] = {"n_words": [], "hits": [], "runs": [], "items": []}
                 for text in pdf["text"]:
                     text = text if isinstance(text, str) else ""
                     n, hits, ids = scan_text(auto, text)
                     out["n_words"].append(n)
                     out["hits"].append(hits.tolist())
-                    out["spans"].append([{"start": s, "end": e} for s, e in spans_of(text, hits)] if len(hits) else [])
-                    out["items"].append(sorted(ids))
-                yield pd.DataFrame({"id": pdf["id"], **out})
+                    out["runs"].append([{"first": f, "last": z, "start": s, "end": e} for s, e, f, z in spans_of(text, hits)] if len(hits) else [])
+                    out["items"].append(sorted(ids, key=lambda x: (x is None, x or "")))
+                yield pd.DataFrame({**{c: pdf[c] for c in keep}, **out})
 
         parts.append(src.mapInPandas(run, schema))
-    if blocks == 1:
-        out = parts[0]
-    else:  # a row for each document and block with hits
-        out = parts[0]
+    out = parts[0]
+    if blocks > 1:  # a row for each document and block
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.groupBy("id").agg(
+        out = out.groupBy("key").agg(
+            F.first("id").alias("id"),
             F.max("n_words").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+            F.flatten(F.collect_list("runs")).alias("runs"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
-    return out.withColumnRenamed("id", id_col)
+    spans = _merged(F.col("runs")) if blocks > 1 else F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return out.select(F.col("id").alias(id_col), "n_words", "hits", spans.alias("spans"), "items")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,18 @@ def test_decontamination(spark, block):
     assert [texts[9][s.start : s.end] for s in got[9].spans] == ["TINY... one", "tiny one"]
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    items = [("1", " ".join(WORDS[:12])), ("5", " ".join(WORDS[5:15])), ("6", " ".join(WORDS[15:18])), (None, "lost item"), (None, "tiny one"), ("7", "tiny one")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(None, " ".join(WORDS[:18])), (None, "a tiny one"), (None, "clean"), (1, "a lost item"), (1, "a tiny one"), (1, "a tiny one"), (2, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [sorted(map(str, o3.decontaminate(d, bench, block_bytes=size).collect())) for size in (16 << 20, 100, 30)]
+    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
+    by = {str(r.n_words): r for r in o3.decontaminate(d, bench, block_bytes=30).collect() if r.doc_id is None}
+    assert list(by["18"].hits) == list(range(18)) and [(s.start, s.end) for s in by["18"].spans] == [(0, len(rows[0][1]))] and by["18"]["items"] == ["1", "5", "6"]
+    assert by["3"]["items"] == ["7", None] and not by["1"].hits
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><h1>T &amp; U</h1><p><b>One <i>two</i><br><p>three&nbsp; four<ul><li>x<li>y</ul><div class=comments><p>me too</div></article><footer>f</footer>"
     rows = [(0, "http://h.com/1", page), (1, "http://h.com/2", page.replace("T &amp;", "Z")), (2, None, None), (3, "odd", "plain <b>text</b> &lt;x&gt;"), (4, "http://h.com/3", "<p>unclosed <")]
