@@ -8,29 +8,64 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm import op1_secrets, op2_neardup, op3_decontam, op6_quality, op8_bpe
 from tessera.llm._util import shared_path, table
 
 
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a text that tells its rows apart, in order of doc_id, null ids last; only rows equal in all columns share it.
+
+    It is made of the columns alone, so it does not depend on partitions or on a second run.
+    """
+    every = [F.col(c) for c in docs.columns]
+    mark = [c.isNull() for c in every]  # hashes leave nulls out
+    hashes = [F.lpad(F.hex(F.xxhash64(F.lit(i), *every, *mark)), 16, "0") for i in range(2)]
+    at = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        at = F.lpad((at.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return docs.withColumn(key, F.concat(at.isNull().cast("int").cast("string"), F.coalesce(at.cast("string"), F.lit("")), F.lit("\u0000"), *hashes))
+
+
+def _free(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    name = "row_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from this stage's documents and the table ``labels``."""
+    """Documents that the classifier accepts; it learns from this stage's documents and the table ``labels``.
+
+    Each row is decided by its own text, also those with a null or repeated doc_id.
+    """
     model = op6_quality.train(docs, table(spark, sf_dir, "labels"))
-    keep = op6_quality.score(docs, model).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    key = _free(docs)
+    rows = keyed(docs, key)
+    keep = op6_quality.score(rows, model, id_col=key).filter("predicted = 1").select(key).distinct()
+    return rows.join(keep, key, "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id."""
-    keep = op2_neardup.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each class, the one with the smallest doc_id.
+
+    Null ids come last, equal ids go by a hash of the row; different texts under one doc_id are documents of their own.
+    """
+    key = _free(docs)
+    rows = keyed(docs, key)
+    keep = op2_neardup.near_duplicates(rows, id_col=key).filter("kept").select(key)
+    return rows.join(keep, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = op3_decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    drop = found.filter(F.size("hits") > 0).select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """Documents without any window of a benchmark item, each row by its own text."""
+    key = _free(docs)
+    rows = keyed(docs, key)
+    found = op3_decontam.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=key)
+    drop = found.filter(F.size("hits") > 0).select(key)
+    return rows.join(drop, key, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

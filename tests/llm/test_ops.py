@@ -267,3 +267,27 @@ def test_pipeline(spark, tmp_path):
     assert out and {r.doc_id for r in out} <= {r.doc_id for r in d.select("doc_id").collect()}
     assert cp.secrets(spark, d, sf).columns == d.columns
     assert not [r for r in cp.secrets(spark, d, sf).collect() if re.search(r"AKIA[A-Z0-9]{14}", r.text)]
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    cp = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(10)
+    a, b, c, e = (" ".join(rng.choice(WORDS, 60)) for _ in range(4))
+    leak = " ".join(WORDS[:12])
+    rows = [(None, a, "x"), (None, b, None), (None, b, "x"), (7, a, "x"), (7, c, "x"), (7, c, "x"), (-3, c + " end", "x"), (None, f"{e} {leak}", "x"), (8, "clean words", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row_key string")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    read = lambda x: sorted((tuple(r) for r in x.collect()), key=str)
+    order = lambda x: sorted(x, key=str)
+    assert read(cp.quality(spark, d, str(tmp_path))) == order(rows)  # without labels every score is 0.5
+    assert read(cp.decontaminate(spark, d, str(tmp_path))) == order(rows[:7] + rows[8:])
+    got = read(cp.near_duplicates(spark, d, str(tmp_path)))
+    assert [r[:2] for r in got] == order([(-3, c + " end"), (7, a), (8, "clean words"), (None, b), (None, rows[7][1])])
+
+
+def test_row_keys_are_in_order_of_ids(spark):
+    cp = pytest.importorskip("corpus_pipeline")
+    ids = [-(2**63), -5, -1, 0, 3, 10, 2**63 - 1, None]
+    got = cp.keyed(spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string"), "k").orderBy("k").collect()
+    assert [r.doc_id for r in got] == ids
