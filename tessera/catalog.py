@@ -130,7 +130,8 @@ def _(spark, sf):
 @query("text_fold_documents", "select doc_id, md5(lower(strip_accents(regexp_replace(text, '[^\\x00-\\x7FÀ-ÖØ-öø-ÿ]', '', 'g')))) as folded from documents")
 def _(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    return d.select("doc_id", F.md5(X.fold(F.regexp_replace("text", "[^\\x00-\\x7FÀ-ÖØ-öø-ÿ]", ""))).alias("folded"))
+    # whole texts; the SQL folds what is left of them without other scripts and signs
+    return d.select("doc_id", F.md5(X.folded_exactly(F.col("text"))).alias("folded"))
 
 
 @query("text_skeleton", f"select distinct w, {_skel('w')} as sk from (select unnest(regexp_extract_all(lower(p_name), '[a-z]+')) as w from part)")
@@ -568,4 +569,4 @@ def _(spark, sf):
     d = features.set_features(features.sided(d, _nq(spark, sf), _nrec(spark, sf)))
     cols = ["sc_ratio", "sc_rank", "sk_jacc", "nw_jacc", "aw_jacc", "num_jacc", "house_rel", "num_rel", "len_diff"]
     d = d.join(FX.truth(spark, sf).withColumn("y", F.lit(1)), ["s1", "r"], "left").withColumn("y", F.coalesce("y", F.lit(0))).select("s1", "r", "y", *cols)
-    return model.predict(model.fit_matcher(d, cols, iterations=10, depth=4), d, cols).select("s1", "r", "y", "p")
+    return model.predict(model.fit_matcher(d, cols), d, cols).select("s1", "r", "y", "p")

@@ -174,3 +174,20 @@ def test_registered_index_is_whole(spark, monkeypatch):
     rows = {(s1, r, arm, -sc, rk) for (s1, arm), v in by.items() for rk, (sc, r) in enumerate(sorted(v)[: blocking.CAPS[arm]], 1)}
     assert rows == {(x.s1, x.r, x.arm, x.sc, x.rk) for x in found["block_retrieve"](spark, "").collect()}
     assert {(s1, r) for s1, r, *_ in rows} == {(x.s1, x.r) for x in found["block_pool"](spark, "").collect()}
+
+
+def test_registered_fold_and_matcher_are_whole(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from tessera import catalog
+
+    texts = {1: ("Ёлка ﬁn ½ Ａé", "елка fin 1⁄2 ae"), 2: ("ÀB 中文", "ab 中文"), 3: (None, "")}
+    spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.folded for r in catalog.queries()["text_fold_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(want.encode()).hexdigest() for i, (_, want) in texts.items()}
+
+    asked = []
+    monkeypatch.setattr(catalog.model, "fit_matcher", lambda *a, **kw: asked.append((len(a), kw)))
+    monkeypatch.setattr(catalog.model, "predict", lambda m, d, cols: d.withColumn("p", F.lit(0.5)))
+    catalog.queries()["matcher"](spark, "/root/testdata/sf0.001")
+    assert asked == [(2, {})]  # default trees and depth
