@@ -18,7 +18,6 @@ the range partitions are the parts, seq counts chunks in a part. Where a part st
 from __future__ import annotations
 
 import functools
-import re
 import struct
 import zlib
 
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import shared_path, table
+from ._words import SEP, WordTable, joined, spaced_words, unplain
 
 NAME = "op5_simple8b"
 
@@ -37,6 +37,7 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 ESCAPE, BLOCK = 14, 4096
 _HEAD = struct.Struct("<4sIQIII")
 _NO_ID = np.iinfo(np.int64).min
+_END = bytes([SEP])
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,52 +158,37 @@ def read_file(path: str):
         yield chunk
 
 
-class _Words(dict):
-    """word -> number; a new word gets the next number and waits to be encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
 class Encoder:
     """The library's ids, word by word: the library encodes each distinct word once while the bounded cache lasts.
 
-    Byte-level BPE handles the words of its pattern separately, so this changes no id. Texts with an added
-    token, or with characters where the pattern's classes and those of ``re`` differ, go to the library whole.
+    Byte-level BPE handles the words of its pattern separately, so this changes no id. A batch's words are cut and numbered as
+    arrays (``_words``). Texts with an added token, or with characters for which byte classes do not hold, go to the library whole.
     A word's ids lie one after the other in one array, from which all texts of a batch are gathered at once.
     """
 
-    _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    _PLAIN = re.compile(r"[\x00-\x08\t-\r -~À-ÖØ-öø-ɏ]*\Z")
-
     def __init__(self, path: str, cache_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.cache_words = cache_words
+        self.known = WordTable()
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Words()
+        self.known.clear()
         self.starts = np.zeros(0, dtype=np.int64)
         self.sizes = np.zeros(0, dtype=np.int64)
         self.store = np.zeros(0, dtype=np.uint64)
 
-    def _learn(self) -> None:
-        new, self.known.new = self.known.new, []
+    def _learn(self, new: list[bytes]) -> None:
         starts, sizes, stores, at = [self.starts], [self.sizes], [self.store], len(self.store)
         for a in range(0, len(new), 10_000):
             part = new[a : a + 10_000]
-            got = self.lib.encode(part, is_pretokenized=True, add_special_tokens=False)
+            # the sign that ends a text becomes an empty word, which has no ids
+            got = self.lib.encode(["" if w == _END else w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
             n = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part))
             starts.append(at + np.cumsum(n) - n)
             sizes.append(n)
@@ -212,30 +198,26 @@ class Encoder:
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Each text's ids with the end id."""
-        if len(self.known) > self.cache_words:
+        if self.known.size > self.cache_words:
             self._clear()
-        out: list[np.ndarray] = []
-        words: list[str] = []
-        counts: list[int] = []
-        whole: dict[int, np.ndarray] = {}
-        for k, t in enumerate(texts):
-            if self._PLAIN.match(t) and not any(a in t for a in self.added):
-                own = self._WORD.findall(t)
-                words += own
-                counts.append(len(own))
-            else:
-                whole[k] = np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=np.uint64)
-                counts.append(0)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.known.new:
-            self._learn()
+        raw = [t.encode("utf-8") for t in texts]
+        data = joined(raw)
+        stops = np.cumsum([len(t) + 1 for t in raw])
+        odd = set(np.searchsorted(stops, unplain(data), side="right").tolist())
+        odd.update(k for k, t in enumerate(raw) if any(a in t for a in self.added))
+        if odd:
+            data = joined([b"" if k in odd else t for k, t in enumerate(raw)])
+        firsts = spaced_words(data)
+        number = self.known.numbers(data, firsts, np.append(firsts[1:], len(data)), self._learn)
         sizes = self.sizes[number]
-        stops = np.cumsum(sizes)
-        ids = self.store[np.repeat(self.starts[number] - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
-        edges = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts)))]
+        ends = np.cumsum(sizes)
+        ids = self.store[np.repeat(self.starts[number] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate(([0], ends[data[firsts] == SEP])).tolist()
         end = np.array([end_id], dtype=np.uint64)
-        for k in range(len(texts)):
-            out.append(np.concatenate((whole[k] if k in whole else ids[edges[k] : edges[k + 1]], end)))
+        out = []
+        for k, t in enumerate(texts):
+            own = np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=np.uint64) if k in odd else ids[edges[k] : edges[k + 1]]
+            out.append(np.concatenate((own, end)))
         return out
 
 
@@ -254,8 +236,9 @@ def _encoder(path: str) -> Encoder:
 def write(df: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, chunk_ids: int = 1 << 17) -> None:
     """Encode the texts, each with ``end_id`` appended, and write them in ascending id order to the folder ``to``.
 
-    A null text counts as empty (the end id alone). Ids are integers; null comes first. Repeated ids are ordered by text. A text
-    longer than a chunk has a chunk of its own. An empty table writes no chunks. Other columns are not read.
+    A null text counts as empty (the end id alone). Ids are integers; null comes first. Repeated ids are ordered by text. A chunk is
+    closed by the document with which it reaches ``chunk_ids`` ids, so it holds less than that and one text. An empty table writes no
+    chunks. Other columns are not read.
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
 
