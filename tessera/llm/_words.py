@@ -22,6 +22,16 @@ def joined(texts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"\xff".join(texts) + (b"\xff" if texts else b""), dtype=np.uint8)
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each of the distinct keys, for each key which one it is)."""
+    _, first, which = np.unique((a ^ (b >> _U(31)) ^ (b << _U(33))) * _MIX, return_index=True, return_inverse=True)
+    if (a[first][which] != a).any() or (b[first][which] != b).any():  # two keys of one hash
+        keys = np.empty(len(a), dtype=[("a", _U), ("b", _U)])
+        keys["a"], keys["b"] = a, b
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    return first, which
+
+
 class WordTable:
     """Word -> number, in the order in which words were first seen, until ``clear``."""
 
@@ -89,9 +99,7 @@ class WordTable:
             out[long] = 0
         missing = np.flatnonzero(out < 0)
         if len(missing):
-            keys = np.empty(len(missing), dtype=[("a", _U), ("b", _U)])
-            keys["a"], keys["b"] = a[missing], b[missing]
-            _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            first, which = _distinct(a[missing], b[missing])
             rows = self.size + np.arange(len(first))
             out[missing] = rows[which]
             at = missing[first]

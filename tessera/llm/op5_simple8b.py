@@ -166,7 +166,7 @@ class Encoder:
     A word's ids lie one after the other in one array, from which all texts of a batch are gathered at once.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -179,9 +179,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known.clear()
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
-        self.store = np.zeros(0, dtype=np.uint64)
+        self.starts, self.sizes, self.store = (np.zeros(0, dtype=kind) for kind in (np.int32, np.int32, np.uint32))
 
     def _learn(self, new: list[bytes]) -> None:
         starts, sizes, stores, at = [self.starts], [self.sizes], [self.store], len(self.store)
@@ -190,9 +188,9 @@ class Encoder:
             # the sign that ends a text becomes an empty word, which has no ids
             got = self.lib.encode(["" if w == _END else w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
             n = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part))
-            starts.append(at + np.cumsum(n) - n)
-            sizes.append(n)
-            stores.append(np.array(got.ids, dtype=np.uint64))
+            starts.append((at + np.cumsum(n) - n).astype(np.int32))
+            sizes.append(n.astype(np.int32))
+            stores.append(np.array(got.ids, dtype=np.uint32))
             at += len(stores[-1])
         self.starts, self.sizes, self.store = np.concatenate(starts), np.concatenate(sizes), np.concatenate(stores)
 
@@ -210,13 +208,13 @@ class Encoder:
         firsts = spaced_words(data)
         number = self.known.numbers(data, firsts, np.append(firsts[1:], len(data)), self._learn)
         sizes = self.sizes[number]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         ids = self.store[np.repeat(self.starts[number] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         edges = np.concatenate(([0], ends[data[firsts] == SEP])).tolist()
-        end = np.array([end_id], dtype=np.uint64)
+        end = np.array([end_id], dtype=np.uint32)
         out = []
         for k, t in enumerate(texts):
-            own = np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=np.uint64) if k in odd else ids[edges[k] : edges[k + 1]]
+            own = np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=np.uint32) if k in odd else ids[edges[k] : edges[k + 1]]
             out.append(np.concatenate((own, end)))
         return out
 
