@@ -11,7 +11,7 @@ a fifth of them is left out to fit the temperature of the probabilities.
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 from dataclasses import dataclass
 
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import table
+from ._words import SEP, WordTable, joined
 
 NAME = "op6_quality"
 
-BUCKETS, DIMS, NONZERO, CHUNK = 8192, 32, 4, 256
-_TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+|\n")
+BUCKETS, DIMS, NONZERO, CHUNK, ROWS = 8192, 32, 4, 256, 128
 
 
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -49,26 +49,53 @@ def _shape(t: str) -> str:
     return "9" if t.isdigit() else "a9" if t.isalnum() else t[:3]
 
 
+_KIND = np.full(256, 2, dtype=np.int8)  # 0 white space, 1 letters and digits, 2 signs, 3 a line feed or the end of a text, each a token of its own
+_KIND[[9, 11, 12, 13, 32]] = 0
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 255)]] = 1
+_KIND[[10, SEP]] = 3
+
+
 class Cells:
-    """Cell numbers of the tokens of texts, by a bounded cache."""
-
-    def __init__(self, limit: int = 200_000):
-        self.known: dict[str, tuple[int, int]] = {}
-        self.limit = limit
-
-    def of(self, text: str) -> np.ndarray:
-        """2 x n: cells of the tokens in lower case, cells of their shapes."""
-        known, out = self.known, []
-        for t in _TOKEN.findall(text):
-            x = known.get(t)
-            if x is None:
-                x = zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) % BUCKETS, zlib.crc32(b"\0" + _shape(t).encode("utf-8", "surrogatepass")) % BUCKETS
-                if len(t) < 64:
-                    if len(known) >= self.limit:
-                        known.clear()
-                    known[t] = x
-            out.append(x)
-        return np.array(out, dtype=np.int64).reshape(-1, 2).T
+    """Cell numbers of the tokens of texts; those of known tokens are kept, ``limit`` of them at most and a batch's.
+
+    A token is a run of letters and digits (all characters beyond ASCII count as letters), a run of signs, or a line feed.
+    """
+
+    def __init__(self, limit: int = 1_000_000):
+        self.known, self.limit = WordTable(), limit
+        self.cells = np.zeros((2, 0), dtype=np.int32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        own = []
+        for raw in new:
+            if raw == b"\xff":
+                own.append((-1, -1))
+                continue
+            t = raw.decode("utf-8", "surrogatepass")
+            own.append((zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) % BUCKETS, zlib.crc32(b"\0" + _shape(t).encode("utf-8", "surrogatepass")) % BUCKETS))
+        self.cells = np.concatenate((self.cells, np.array(own, dtype=np.int32).T), axis=1)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(2 x n cells: of the tokens in lower case, of their shapes; -1 ends a text), and where the texts end."""
+        if self.known.size > self.limit:
+            self.known.clear()
+            self.cells = self.cells[:, :0]
+        data = joined([t.encode("utf-8", "surrogatepass") for t in texts])
+        kind = _KIND[data]
+        edge = np.ones(len(data) + 1, dtype=bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+        at = np.flatnonzero(edge)
+        starts, ends = at[:-1], at[1:]
+        real = kind[starts] != 0
+        starts, ends = starts[real], ends[real]
+        number = self.known.numbers(data, starts, ends, self._learn)
+        return self.cells[:, number], np.flatnonzero(data[starts] == SEP)
+
+
+@functools.lru_cache(1)
+def _cells() -> Cells:
+    """One for all tasks of a worker process."""
+    return Cells()
 
 
 def _add_context(table_: np.ndarray, streams: np.ndarray, places: np.ndarray, signs: np.ndarray) -> None:
@@ -79,7 +106,7 @@ def _add_context(table_: np.ndarray, streams: np.ndarray, places: np.ndarray, si
         table_ += np.bincount(real * wide + DIMS, minlength=len(table_)).astype(np.int64)
         for gap in (1, 2):
             a, b = line[:-gap], line[gap:]
-            both = (a >= 0) & (b >= 0)
+            both = (a >= 0) & (b >= 0) & (line[1 : len(line) - gap + 1] >= 0)  # none between them is the end of a text
             a, b = a[both], b[both]
             for at, by in ((a, b), (b, a)):
                 for z in range(NONZERO):
@@ -91,23 +118,17 @@ def corpus_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def gather(batches):
         places, signs = index_vectors()
-        cells, table_ = Cells(), np.zeros(BUCKETS * (DIMS + 1), dtype=np.int64)
-        gap = np.full((2, 2), -1, dtype=np.int64)
+        cells, table_ = _cells(), np.zeros(BUCKETS * (DIMS + 1), dtype=np.int64)
         held, size = [], 0
-
-        def flush():
-            if held:
-                _add_context(table_, np.concatenate(held, axis=1), places, signs)
-
         for pdf in batches:
-            for t in pdf["text"]:
-                own = cells.of(t)
-                held += [own, gap]
-                size += own.shape[1]
+            for a in range(0, len(pdf), ROWS):
+                held.append(cells.of(pdf["text"].iloc[a : a + ROWS].tolist())[0])
+                size += held[-1].shape[1]
                 if size > 400_000:
-                    flush()
+                    _add_context(table_, np.concatenate(held, axis=1), places, signs)
                     held, size = [], 0
-        flush()
+        if held:
+            _add_context(table_, np.concatenate(held, axis=1), places, signs)
         yield from _rows(table_.reshape(BUCKETS // CHUNK, -1), TaskContext.get().partitionId() % 64)
 
     def _rows(chunks, salt):
@@ -142,6 +163,7 @@ def word_table(sums: np.ndarray) -> np.ndarray:
 
 
 def features(streams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Mean vectors of one text's tokens by stream, and the logarithms of its size and kinds of tokens."""
     n = streams.shape[1]
     if not n:
         return np.zeros(4 * DIMS + 3, dtype=np.float32)
@@ -154,6 +176,16 @@ def features(streams: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.concatenate((*means, [np.log1p(n) / 8, np.log1p(kinds) / 8, kinds / n])).astype(np.float32)
 
 
+def batch_features(texts: list[str], cells: Cells, words: np.ndarray) -> np.ndarray:
+    """A row of features for each text."""
+    out, at = [], 0
+    streams, ends = cells.of(texts)
+    for end in ends.tolist():
+        out.append(features(streams[:, at:end], words))
+        at = end + 1
+    return np.stack(out) if out else np.zeros((0, 4 * DIMS + 3), dtype=np.float32)
+
+
 @dataclass
 class Network:
     mean: np.ndarray
@@ -216,9 +248,9 @@ def _featured(df: DataFrame, words: np.ndarray, keep: list[str], then=None):
 
     def run(batches):
         table_, net = sent.value
-        cells = Cells()
-        for pdf in batches:
-            x = np.stack([features(cells.of(t), table_) for t in pdf["text"]]) if len(pdf) else np.zeros((0, 4 * DIMS + 3), dtype=np.float32)
+        cells = _cells()
+        for pdf in (b.iloc[a : a + ROWS] for b in batches for a in range(0, len(b), ROWS)):
+            x = batch_features(pdf["text"].tolist(), cells, table_)
             out = pdf[keep].copy()
             if net is None:
                 out["x"] = list(x)
