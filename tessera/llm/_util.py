@@ -29,15 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written as a table of the shared folder and read back.
+class Stored:
+    """A frame written as a table of the shared folder, and read back from it, until ``drop``.
 
     A checkpoint carries on its plan's size estimate, in which each join multiplies; over many rounds that number itself
-    becomes too long to handle. A table's size is that of its files. For small results of iterations.
+    becomes too long to handle. A table's size is that of its files. For results of iterations.
     """
-    at = shared_path(df.sparkSession, kind)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+    def __init__(self, df: DataFrame, kind: str):
+        spark = df.sparkSession
+        self.at = shared_path(spark, kind)
+        df.write.parquet(self.at)
+        self.df = spark.read.schema(df.schema).parquet(self.at)
+
+    def drop(self) -> None:
+        """Deletes the table; what was computed from it must be written by then."""
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,40 +1,42 @@
 """Near-duplicate detection with order MinHash, verified by banded alignment.
 
-A text's words (lower case, letters and digits) give five-word k-mers, each labelled by how often it has occurred before.
-For each of ``sketches`` hash functions the ``ell`` smallest labelled k-mers, kept in text order, make one sketch
-value: equal values need equal k-mers in an equal order, which is close to edit similarity. Each value is a bucket key.
-
-Texts of equal words collapse to their smallest id first, so exact copies, however many, cost one aggregation.
-In a bucket no pairs are listed: one member, the first hub, is compared with the others, one row each, then up to three
-more hubs with those that are not, like the hub itself, linked with the first. Hubs are the members that meet most others in all
-buckets, so near copies of one text meet a hub close to that text. Members that are then not of the first hub's class are
-open. For them it is counted how many of their k-mers occur in any other text that is left, in ``_CELLS`` cells by the
-k-mer's hash. Two texts have no more k-mers in common than the sum over cells of the smaller count; an open member is compared with
-those members of other classes alone for which that sum reaches the threshold for both lengths. So no class is left apart, and few
-pairs are compared that are not links.
-
-A pair's k-mer sequences are aligned inside the band that the threshold leaves (matching runs at either end are cut off
-first; the core is a bit-parallel LCS). Similarity: aligned k-mers over all k-mers of both, the Jaccard index of k-mers
-that respects order. Links make classes by contraction of hash-minimum neighbours.
+A text's words (lower case, letters and digits) are cut once, in the JVM, and from then on are 64-bit hashes. They give five-word
+k-mers, each labelled by how often it has occurred before. For each of ``sketches`` hash functions the ``ell`` smallest
+labelled k-mers, kept in text order, make one sketch value: equal values need equal k-mers in an equal order, which is close
+to edit similarity. Each value is a bucket key.
+
+A pair's similarity is 1 - (edits between the word sequences) / (words of the longer one): a bit-parallel alignment inside the
+band that the threshold leaves, after equal ends are cut off and a bound by common words is passed. So a text of 100 words
+with 20 changed words is still found; of its five-word k-mers hardly any may be left, so the sketches set the recall.
+
+Texts of equal words collapse first to one node (128 bits of hash), so exact copies, however many, cost one aggregation.
+In a bucket no pairs are listed. Up to four members are hubs, those that meet most others in all buckets: a few
+maxima of one aggregation. Every member is compared with the first hub, then with the other hubs that are not in its class by
+then. What is neither a hub nor in the first hub's class is open, and may still be similar to another member that is no hub. These pairs
+come from an equi-join on rare two-word tokens (prefix filter): n words within the threshold keep more than n - 1 - 2(1 - threshold)n of
+their tokens, so two such texts share one of the first 2(1 - threshold)n + 1 in any common order; the order is by rising number of
+occurrences, counted in a table of fixed size. So no link between members of a bucket is lost, but for pairs that are of
+one class anyway, which are not compared.
+
+Worst case: texts of which a very common passage makes 60 to 80 % have no rare token left to tell them apart, and all pairs of them that
+are open in a bucket are aligned.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from ._util import cut, stored, table
+from ._util import Stored, cut, table
 
 NAME = "op2_neardup"
 
 _SPLIT = r"[^\p{L}\p{N}]+"
-_CELLS = 64
+_HUBS, _COUNTERS = 4, 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,83 +77,110 @@ def order_minhash(words: np.ndarray, k: int, ell: int, seeds: np.ndarray) -> np.
     return out
 
 
-def similarity(a: list[str], b: list[str], k: int = 5, threshold: float = 0.0) -> float:
-    """Aligned k-mers over all k-mers of both texts, 0.0 where that is surely below the threshold.
+def _ends(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words from the start on are equal."""
+    k = min(len(a), len(b))
+    differ = np.flatnonzero(a[:k] != b[:k])
+    return int(differ[0]) if len(differ) else k
 
-    Texts of fewer than k words are one k-mer. The alignment stays in the band that the threshold leaves.
+
+def similarity(a, b, threshold: float = 0.0) -> float:
+    """1 - edit distance / words of the longer sequence (1 for two empty ones); 0.0 where that is surely below the threshold.
+
+    The alignment stays in the band of the edits that the threshold leaves.
     """
-    if not a or not b:
-        return float(not a and not b)
-    ka = list(zip(*(a[i:] for i in range(k)))) if len(a) >= k else [tuple(a)]
-    kb = list(zip(*(b[i:] for i in range(k)))) if len(b) >= k else [tuple(b)]
-    na, nb = len(ka), len(kb)
-    least = math.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
-    if min(na, nb) < least or sum((Counter(ka) & Counter(kb)).values()) < least:
+    a, b = np.asarray(a), np.asarray(b)
+    longer = max(len(a), len(b))
+    if not longer:
+        return 1.0
+    limit = math.floor((1 - threshold) * longer + 1e-9)
+    if abs(len(a) - len(b)) > limit:
+        return 0.0
+    lo = _ends(a, b)
+    a, b = a[lo:], b[lo:]
+    hi = _ends(a[::-1], b[::-1])
+    a, b = a[: len(a) - hi], b[: len(b) - hi]
+    if not len(a) or not len(b):
+        return 1 - max(len(a), len(b)) / longer
+    words, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    common = np.minimum(np.bincount(a, minlength=len(words)), np.bincount(b, minlength=len(words))).sum()
+    if max(len(a), len(b)) - common > limit:
         return 0.0
-    lo, hi = 0, min(na, nb)
-    while lo < hi and ka[lo] == kb[lo]:
-        lo += 1
-    tail = 0
-    while tail < hi - lo and ka[na - 1 - tail] == kb[nb - 1 - tail]:
-        tail += 1
-    ka, kb = ka[lo : na - tail], kb[lo : nb - tail]
-    common = lo + tail
-    if ka and kb:
-        band = na + nb - 2 * least
-        where: dict[tuple, int] = {}
-        for j, x in enumerate(kb):
-            where[x] = where.get(x, 0) | (1 << j)
-        full, wide = (1 << len(kb)) - 1, (1 << (2 * band + 1)) - 1
-        v = full
-        for i, x in enumerate(ka):
-            m = where.get(x, 0)
-            if m:
-                m &= (wide << (i - band)) if i >= band else (wide >> (band - i))
-                u = v & m
-                v = ((v + u) | (v - u)) & full
-        common += len(kb) - v.bit_count()
-    return common / (na + nb - common)
+    return 1 - _distance(a.tolist(), b.tolist(), limit) / longer
+
+
+def _distance(a: list[int], b: list[int], band: int) -> int:
+    """Edit distance by Myers' bit vectors, matches at most ``band`` places apart; exact where it is at most ``band``."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | (1 << i)
+    full, top, wide = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << (2 * band + 1)) - 1
+    up, down, score = full, 0, len(a)
+    for j, x in enumerate(b):
+        eq = where.get(x, 0)
+        if eq:
+            eq &= (wide << (j - band)) if j >= band else (wide >> (band - j))
+        free = eq | down
+        flat = (((eq & up) + up) ^ up) | eq
+        plus = down | (full & ~(flat | up))
+        minus = up & flat
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        plus, minus = ((plus << 1) | 1) & full, (minus << 1) & full
+        up = minus | (full & ~(free | plus))
+        down = plus & free
+    return score
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, class) for edges (a, b): class is the smallest node of the component.
 
     Each round sends a node to the neighbour (or itself) with the smallest hash under the round's seed and contracts the
-    edges; the number of nodes falls geometrically, whatever the shape. Hot nodes are summed up before shuffles.
+    edges; the number of nodes falls geometrically, whatever the shape. Hot nodes are summed up before shuffles. Tables of
+    earlier rounds are deleted, the last one stays in the shared folder for whoever reads the result.
     """
-    left = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    steps: list[DataFrame] = []
-    while left.take(1):
+    left = Stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    steps: list[Stored] = []
+    while left.df.take(1):
         k = len(steps)
-        both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
+        both = left.df.select("a", "b").union(left.df.select(F.col("b"), F.col("a")))
         near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("h"), F.col("b").alias("v"))).alias("m"))
         own = F.struct(F.xxhash64("a", F.lit(k)).alias("h"), F.col("a").alias("v"))
-        goes = stored(near.select("a", F.least("m", own)["v"].alias("next")), "goes")
-        to_a, to_b = goes.select("a", F.col("next").alias("ta")), goes.select(F.col("a").alias("b"), F.col("next").alias("tb"))
-        joined = left.join(to_a, "a").join(to_b, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-        left = stored(joined.filter("a <> b").distinct(), "edges")
+        goes = Stored(near.select("a", F.least("m", own)["v"].alias("next")), "goes")
+        to_a, to_b = goes.df.select("a", F.col("next").alias("ta")), goes.df.select(F.col("a").alias("b"), F.col("next").alias("tb"))
+        joined = left.df.join(to_a, "a").join(to_b, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+        shorter = Stored(joined.filter("a <> b").distinct(), "edges")
+        left.drop()
+        left = shorter
         steps.append(goes)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).limit(0)
-    names = steps[0].select(F.col("a").alias("node"), F.col("next").alias("at"))
+    names = steps[0].df.select(F.col("a").alias("node"), F.col("next").alias("at"))
     for goes in steps[1:]:
-        names = names.join(goes, F.col("at") == F.col("a"), "left").select("node", F.coalesce("next", "at").alias("at"))
-    names = stored(names, "names")
+        names = names.join(goes.df, F.col("at") == F.col("a"), "left").select("node", F.coalesce("next", "at").alias("at"))
     least = names.groupBy("at").agg(F.min("node").alias("class"))
-    return names.join(least, "at").select("node", "class")
+    named = Stored(names.join(least, "at").select("node", "class"), "names")
+    for t in [*steps, left]:
+        t.drop()
+    return named.df
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, sketches: int = 16, ell: int = 4, seed: int = 7
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, sketches: int = 16, ell: int = 2, seed: int = 7
 ) -> DataFrame:
-    """(id, class_id, kept) of every row; class_id is the smallest id of the class, kept is true for that row alone.
+    """(id, class_id, kept) of every row; class_id is the smallest id of the class, kept is true for one row of the class, which has that id.
 
     Rows of equal words are one class; texts without words (null, empty, signs only) are equal where their characters are.
-    Repeated rows (equal id and text) have equal results, of which all but one are not kept. A row with a null id takes the class of its text, or null.
-    ``sketches`` and ``ell`` set the recall: at similarity s about 1 - (1 - s**ell)**sketches a pair. A text of fewer than ``ell``
-    k-mers meets only those of as many; at the default values such a pair of unequal length is below the threshold anyway.
-    Columns other than the two named are not read.
+    Repeated rows (equal id and text) have equal results, of which all but one are not kept. Different texts under one id are rows of
+    their own, each with its text's class. A row with a null id takes its class's id; a class of null ids alone has class_id null and
+    keeps one of them. ``sketches`` and ``ell`` set the recall: with a share s of common k-mers about 1 - (1 - s**ell)**sketches a pair.
+    Texts of under k words are one k-mer and meet equal ones alone. Columns other than the two named are not read.
     """
+    if not 0.8 <= threshold <= 1:
+        raise ValueError("the filters hold for thresholds from 0.8 on")
     rng = np.random.default_rng(seed)
     seeds = rng.integers(0, 2**63, sketches, dtype=np.uint64)
     kind = df.schema[id_col].dataType.simpleString()
@@ -159,93 +188,129 @@ def near_duplicates(
     words = F.filter(F.split(F.lower(text), _SPLIT, -1), lambda w: w != "")
     src = df.select(F.col(id_col).alias("id"), text.alias("text"), words.alias("w"))
     norm = F.when(F.size("w") > 0, F.array_join("w", " ")).otherwise(F.concat(F.lit("\u0000"), F.col("text")))
-    keyed = src.select("id", F.xxhash64(norm).alias("h1"), F.xxhash64(F.lit(1), norm).alias("h2"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    src = src.select("id", F.unhex(F.md5(norm.cast("binary"))).alias("node"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
 
     def sketch(batches):
         for pdf in batches:
             sk = [order_minhash(np.asarray(w, dtype=np.int64).view(np.uint64), k, ell, seeds).view(np.int64) if len(w) else np.zeros(0, dtype=np.int64) for w in pdf["w"]]
-            yield pd.DataFrame({"id": pdf["id"], "h1": pdf["h1"], "h2": pdf["h2"], "sk": sk})
+            yield pd.DataFrame({"id": pdf["id"], "node": pdf["node"], "sk": sk})
+
+    rows = cut(src.mapInPandas(sketch, f"id {kind}, node binary, sk array<long>"))
+    reps = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("sk").alias("sk")))
+    cells = reps.select("node", F.posexplode("sk").alias("f", "v")).select(F.xxhash64("f", "v").alias("key"), "node")
+    classes = _classes(cells, src.select("node", "w"), threshold)
+    named = reps.select("node", "rep").join(classes, "node", "left").select("node", "rep", F.coalesce("class", "node").alias("class"))
+    least = named.groupBy("class").agg(F.min("rep").alias("class_id"), F.min_by("node", F.struct(F.col("rep").isNull(), "rep", "node")).alias("chosen"))
+    named = named.join(least, "class").select("node", "class_id", (F.col("node") == F.col("chosen")).alias("own"))
+    # equal rows as one with their number, of which the first is kept
+    once = rows.groupBy("id", "node").agg(F.count("*").alias("n")).join(named, "node")
+    if_kept = F.col("own") & F.col("id").eqNullSafe(F.col("class_id"))
+    out = once.select("id", "class_id", if_kept.alias("own"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    return out.select(F.col("id").alias(id_col), "class_id", (F.col("own") & (F.col("i") == 1)).alias("kept"))
+
+
+def tokens_of(words: np.ndarray) -> np.ndarray:
+    """Hashes of the two-word tokens, labelled by how often each has occurred before; one word is a token of its own."""
+    grams = np.sort(_kmers(words, 2))
+    fresh = np.concatenate(([True], grams[1:] != grams[:-1]))
+    place = np.arange(len(grams))
+    return _mix(grams + (place - np.maximum.accumulate(np.where(fresh, place, 0))).astype(np.uint64) * _M1)
+
+
+def _rare_tokens(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, token) from (node, w): the tokens of the prefix filter that may occur in another text."""
+    cells = np.uint64(_COUNTERS - 1)
+
+    def count(batches):
+        total = np.zeros(_COUNTERS, dtype=np.int64)
+        for pdf in batches:
+            own = [tokens_of(np.asarray(w, dtype=np.int64).view(np.uint64)) & cells for w in pdf["w"]]
+            if own:
+                total += np.bincount(np.concatenate(own).astype(np.int64), minlength=_COUNTERS)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": some, "n": total[some]})
+
+    table_ = np.zeros(_COUNTERS, dtype=np.int64)
+    counts = members.select("w").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # of fixed size
+    table_[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    sent = members.sparkSession.sparkContext.broadcast(np.minimum(table_, 2**31 - 1).astype(np.int32))
+
+    def choose(batches):
+        for pdf in batches:
+            nodes, sizes, found = [], [], []
+            for node, w in zip(pdf["node"], pdf["w"]):
+                t = tokens_of(np.asarray(w, dtype=np.int64).view(np.uint64))
+                often = sent.value[(t & cells).astype(np.int64)]
+                first = np.lexsort((t, often))[: math.floor(2 * (1 - threshold) * len(w) + 1e-9) + 1]
+                t = t[first][often[first] > 1]  # one that occurs once leads nowhere
+                nodes += [node] * len(t)
+                sizes += [len(w)] * len(t)
+                found.append(t.view(np.int64))
+            yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "n": np.array(sizes, dtype=np.int64), "token": np.concatenate(found) if found else np.zeros(0, dtype=np.int64)})
 
-    rows = cut(keyed.mapInPandas(sketch, f"id {kind}, h1 long, h2 long, sk array<long>"))
-    reps = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sk").alias("sk")))
-    cells = reps.filter("rep is not null").select(F.col("rep").alias("id"), F.posexplode("sk").alias("f", "v")).select(F.xxhash64("f", "v").alias("key"), "id")
-    links = _links(cells, src.select("id", "text"), kind, k, threshold)
-    named = reps.select("h1", "h2", "rep")
-    named = named.join(connected(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("class", "rep"))
-    out = rows.select("id", "h1", "h2").join(named.select("h1", "h2", "class_id"), ["h1", "h2"])
-    first = F.row_number().over(W.Window.partitionBy("id").orderBy("h1", "h2")) == 1  # among repeated rows
-    return out.select("id", "class_id", (F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)) & first).alias("kept")).withColumnRenamed("id", id_col)
+    return members.mapInPandas(choose, "node binary, n long, token long")
 
 
-def _shared(texts: DataFrame, kind: str, k: int) -> DataFrame:
-    """(id, n, c, cells) of each text: its number of k-mers, how many of them occur in any other of the texts, and these by cell."""
-    words = F.filter(F.split(F.lower("text"), _SPLIT, -1), lambda w: w != "")
-    hashed = texts.select("id", F.transform(words, lambda x: F.xxhash64(x)).alias("w"))
+def _classes(cells: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """(node, class) of the nodes with links, from bucket rows (key, node) and the nodes' words (any number of equal rows a node)."""
 
-    def cutter(batches):
+    def verify(batches):
         for pdf in batches:
-            g = [_kmers(np.asarray(w, dtype=np.int64).view(np.uint64), k).view(np.int64) for w in pdf["w"]]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in g], "g": g})
-
-    own = cut(hashed.mapInPandas(cutter, f"id {kind}, n long, g array<long>"))
-    each = own.select("id", F.explode("g").alias("g"))
-    both = cut(each.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("g"))
-    count = each.join(both, "g", "left_semi").groupBy("id", F.pmod("g", F.lit(_CELLS)).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("c"))
-    count = count.groupBy("id").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("by"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(_CELLS - 1)), lambda i: F.coalesce(F.col("by")[i], F.lit(0)))
-    return own.select("id", "n").join(count.select("id", "c", cells.alias("cells")), "id")
+            ok = [similarity(a, b, threshold) >= threshold - 1e-9 for a, b in zip(pdf["wa"], pdf["wb"])]
+            yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
+    shared = cells.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    base = cut(cells.join(shared, "key"))
+    central = base.groupBy("node").agg(F.sum("n").alias("rank"))
+    held = cut(words.join(central.select("node"), "node", "left_semi").groupBy("node").agg(F.first("w").alias("w")))
+    wa, wb = held.select(F.col("node").alias("a"), F.col("w").alias("wa")), held.select(F.col("node").alias("b"), F.col("w").alias("wb"))
 
-def _links(cells: DataFrame, texts: DataFrame, kind: str, k: int, threshold: float, hubs: int = 4) -> DataFrame:
-    """(a, b) of verified pairs from bucket rows (key, id): first members with hubs, then open members with the rest."""
+    def pairs(d: DataFrame, x: str, y: str) -> DataFrame:
+        return d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
 
-    def verify(batches):
-        import re
+    def verified(asked: DataFrame) -> DataFrame:
+        return cut(asked.join(wa, "a").join(wb, "b").mapInPandas(verify, "a binary, b binary"))
 
-        cutter = re.compile(r"[^\W_]+")
-        for pdf in batches:
-            ok = [similarity(cutter.findall(a.lower()), cutter.findall(b.lower()), k, threshold) >= threshold for a, b in zip(pdf["ta"], pdf["tb"])]
-            yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
+    # hubs: the most central member of each of _HUBS groups of a bucket's members, by maxima
+    ranked = base.join(central, "node").select("key", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(_HUBS)).alias("g"), F.struct("rank", "node").alias("m"))
+    tops = ranked.groupBy("key").agg(*(F.max(F.when(F.col("g") == i, F.col("m"))).alias(f"m{i}") for i in range(_HUBS)))
+    ordered = F.sort_array(F.array_compact(F.array(*(f"m{i}" for i in range(_HUBS)))), asc=False)
+    hubs = cut(tops.select("key", F.transform(ordered, lambda m: m["node"]).alias("hubs")))
 
-    bucket = W.Window.partitionBy("key")
-    base = cut(cells.withColumn("n", F.count("*").over(bucket)).filter("n > 1"))
-    central = base.groupBy("id").agg(F.sum("n").alias("rank"))
-    held = cut(texts.join(central.select("id"), "id").groupBy("id").agg(F.min("text").alias("text")))
-    ta, tb = held.select(F.col("id").alias("a"), F.col("text").alias("ta")), held.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-
-    def verified(asked: DataFrame, besides: DataFrame | None = None) -> DataFrame:
-        pairs = asked.select("a", "b").filter("a <> b").distinct()
-        pairs = pairs if besides is None else pairs.join(besides.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        return cut(pairs.join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}"))
-
-    pair = (F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-    turn = F.row_number().over(W.Window.partitionBy("key").orderBy(F.col("rank").desc(), "id"))
-    now = base.drop("n").join(central, "id").withColumn("turn", turn)
-    now = cut(now.select("key", "id", "turn", F.max(F.when(F.col("turn") == 1, F.col("id"))).over(bucket).alias("h")))
-    first = now.select("key", "id", "turn", "h", *pair)
+    first = cut(pairs(base.join(hubs, "key").select("node", F.col("hubs")[0].alias("hub")), "node", "hub"))
     links = verified(first)
-    near = first.join(links.withColumn("hit", F.lit(True)), ["a", "b"], "left").select("key", "id", "turn", F.coalesce("hit", F.col("turn") == 1).alias("near"))
-    # two members that the first hub took are of one class: other hubs need not compare them
-    others = F.collect_list(F.when(F.col("turn").between(2, hubs), F.struct(F.col("id").alias("h"), F.col("near").alias("too")))).over(bucket)
-    second = near.withColumn("hubs", others).select("id", "near", F.inline("hubs")).filter(~(F.col("near") & F.col("too")))
-    links = links.union(verified(second.select(*pair), first))
-    # open: not of the first hub's class
-    named = connected(links).select(F.col("node").alias("id"), "class")
-    left = now.join(named, "id", "left").select("key", "id", "turn", F.coalesce("class", "id").alias("of"))
-    left = left.withColumn("open", F.col("of") != F.max(F.when(F.col("turn") == 1, F.col("of"))).over(bucket))
-    left = cut(left.withColumn("any", F.max("open").over(bucket)).filter("any").select("key", "id", "of", "open"))
-    if not left.take(1):
-        return links
-    counts = _shared(held.join(left.select("id").distinct(), "id", "left_semi"), kind, k)
-    left = cut(left.join(counts, "id"))
-    x = left.filter("open").select("key", F.col("id").alias("x"), F.col("of").alias("ofx"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("cells").alias("sx"))
-    y = left.select("key", F.col("id").alias("y"), F.col("of").alias("ofy"), F.col("open").alias("oy"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("cells").alias("sy"))
-    least = F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny")) - F.lit(1e-6)
-    common = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    enough = (F.least("cx", "cy") >= least) & (common >= least)
-    rest = x.join(y, (x.key == y.key) & (F.col("ofx") != F.col("ofy")) & (~F.col("oy") | (F.col("x") < F.col("y"))) & enough)
-    asked = first.select("a", "b").union(second.select(*pair))
-    return links.union(verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), asked))
+    named = connected(links)
+
+    def classed(d: DataFrame, node: str, name: str) -> DataFrame:
+        return d.join(named.select(F.col("node").alias(node), F.col("class").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    # buckets of more than two members: the other hubs
+    more = base.filter("n > 2").select("key", "node")
+    others = classed(hubs.filter(F.size("hubs") > 1).select("key", F.explode(F.slice("hubs", 2, _HUBS)).alias("hub")), "hub", "of_hub")
+    others = others.groupBy("key").agg(F.collect_list(F.struct("hub", "of_hub")).alias("others"))  # _HUBS at most
+    asked = classed(more, "node", "of").join(others, "key").select("node", "of", F.inline("others")).filter("of <> of_hub")
+    second = cut(pairs(asked, "node", "hub").join(first, ["a", "b"], "left_anti"))
+    links2 = verified(second)
+    star = named.select(F.col("node").alias("a"), F.col("class").alias("b"))
+    named = connected(star.unionByName(links2))
+
+    # members that are no hubs: open outside the first hub's class
+    top = classed(hubs.select("key", "hubs", F.col("hubs")[0].alias("hub")), "hub", "of_hub").select("key", "hubs", "of_hub")
+    rest = classed(base.filter("n > 3").select("key", "node"), "node", "of").join(top, "key").filter(~F.array_contains("hubs", F.col("node")))
+    rest = cut(rest.select("key", "node", "of", (F.col("of") != F.col("of_hub")).alias("open")))
+    opened = rest.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("any and n > 1").select("key")
+    members = cut(rest.join(opened, "key", "left_semi").groupBy("node").agg(F.first("of").alias("of"), F.max("open").alias("open")))
+    if not members.take(1):
+        return named
+    tokens = cut(_rare_tokens(held.join(members, "node", "left_semi"), threshold).join(members, "node"))
+    x = tokens.filter("open").select("token", F.col("node").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("nx"))
+    y = tokens.select("token", F.col("node").alias("y"), F.col("of").alias("of_y"), F.col("open").alias("oy"), F.col("n").alias("ny"))
+    fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny") - F.lit(1e-6)
+    met = x.join(y, "token").filter((F.col("of_x") != F.col("of_y")) & (~F.col("oy") | (F.col("x") < F.col("y"))) & fits)
+    third = pairs(met, "x", "y").join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    links3 = verified(third)
+    star = named.select(F.col("node").alias("a"), F.col("class").alias("b"))
+    return connected(star.unionByName(links3))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

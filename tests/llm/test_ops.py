@@ -95,24 +95,78 @@ def test_near_duplicates_of_four_and_five_kmers(spark):
     texts = []
     for i in range(20):
         w = WORDS[9 * i : 9 * i + 9]
-        assert o2.similarity(w[:8], w, 5, 0.8) == o2.similarity(w[1:], w, 5, 0.8) == 0.8
+        assert o2.similarity(w[:8], w, 0.8) == o2.similarity(w[1:], w, 0.8) == pytest.approx(8 / 9)
         texts += [" ".join(w[1:] if i % 2 else w[:8]), " ".join(w)]
     got = {r.doc_id: r.class_id for r in o2.near_duplicates(docs(spark, texts)).collect()}
     assert sum(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(20)) >= 17  # 0.97 of the pairs on average
 
 
-def test_similarity_is_lcs():
+def test_similarity_is_edit_similarity():
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        a, b = (list(rng.choice(list("abcd"), rng.integers(5, 25))) for _ in "ab")
-        ka, kb = ([tuple(x[i : i + 2]) for i in range(len(x) - 1)] for x in (a, b))
-        t = np.zeros((len(ka) + 1, len(kb) + 1), int)
-        for i, x in enumerate(ka):
-            for j, y in enumerate(kb):
-                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
-        s = t[-1, -1] / (len(ka) + len(kb) - t[-1, -1])
-        assert o2.similarity(a, b, 2) == pytest.approx(s)
-        assert (o2.similarity(a, b, 2, 0.5) >= 0.5) == (s >= 0.5)
+    for _ in range(200):
+        a, b = (rng.choice(list("abcd"), rng.integers(0, 25)) for _ in "ab")
+        if rng.random() < 0.5:
+            b = np.delete(a, rng.integers(0, max(1, len(a)), 2) % max(1, len(a))) if len(a) else a
+        t = np.add.outer(np.arange(len(a) + 1), np.arange(len(b) + 1))
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = min(t[i, j] + (x != y), t[i, j + 1] + 1, t[i + 1, j] + 1)
+        s = 1 - t[-1, -1] / max(len(a), len(b), 1)
+        assert o2.similarity(a, b) == pytest.approx(s)
+        assert (o2.similarity(a, b, 0.7) >= 0.7 - 1e-9) == (s >= 0.7 - 1e-9)
+
+
+def test_prefix_tokens_lose_no_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint64)
+        b = list(a)
+        for _ in range(int(0.2 * len(a))):
+            at = int(rng.integers(0, len(b)))
+            match rng.integers(3):
+                case 0:
+                    b[at] = np.uint64(99)
+                case 1:
+                    b.insert(at, np.uint64(98))
+                case _ if len(b) > 1:
+                    del b[at]
+        b = np.array(b, dtype=np.uint64)
+        if o2.similarity(a, b, 0.8) < 0.8 - 1e-9:
+            continue
+        first = [set(np.sort(o2.tokens_of(x))[: int(0.4 * len(x) + 1e-9) + 1].tolist()) for x in (a, b)]
+        assert first[0] & first[1]
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    """All pairs of sf0.001: every pair of similarity 0.8 or more is in one class, and classes hold nothing else."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = {r.doc_id: np.array([hash(w) for w in re.findall(r"[^\W_]+", (r.text or "").lower())]) for r in d.collect()}
+    got = {r.doc_id: r.class_id for r in o2.near_duplicates(d).collect()}
+    ids = sorted(i for i in words if len(words[i]))
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    near = [(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if o2.similarity(words[i], words[j], 0.8) >= 0.8 - 1e-9]
+    for i, j in near:
+        up[max(top(i), top(j))] = min(top(i), top(j))
+    differ = [(i, j) for i, j in near if len(words[i]) != len(words[j]) or (words[i] != words[j]).any()]
+    assert len(differ) >= 10 and all(got[i] == top(i) for i in ids)
+
+
+def test_open_members_of_a_bucket_meet(spark):
+    """Texts that share a passage, in pairs of near copies beyond the hubs."""
+    rng = np.random.default_rng(12)
+    shared = list(rng.choice(WORDS, 30))
+    texts = []
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(30)]
+        texts += [" ".join(own[:15] + shared + own[15:]), " ".join(own[:15] + shared + own[15:29] + ["other"])]
+    got = {r.doc_id: r.class_id for r in o2.near_duplicates(docs(spark, texts), sketches=64, ell=1).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(60))
 
 
 def test_components(spark):
