@@ -5,18 +5,20 @@ are bytes from 0x80, so one table maps a text's bytes to lower-case letters, dig
 of ten consecutive words of a benchmark item (all words of a shorter item) is a pattern; word starts and ends are
 marked by single spaces. Matches give hit words, hit words give places in the original text.
 
-The benchmark is measured first. It is cut by a hash of the items into blocks of about ``block_bytes``; for
-each block an automaton is built on the executors from the broadcast block, whose size is thus bounded. With
-more than one block each row gets a key of its own, by which its parts are joined at the end.
+The benchmark is streamed to the driver and cut into blocks whose windows together have at most ``block_chars`` characters, which bounds
+the trie of a block's automaton; a long item is cut into overlapping stretches of windows first. A task keeps the last automaton
+it has built. With more than one block it gathers rows up to ``batch_bytes`` of text, builds one block's automaton after the other and scans
+the same rows with each, so a row's result is made in one place and does not depend on the number of blocks. Blocks beyond
+``wave_chars`` (all that is broadcast at once) follow in another pass over the stored rows with what they have so far.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import cut, table
@@ -83,68 +85,115 @@ def spans_of(text: str, hits: np.ndarray) -> list[tuple[int, int, int, int]]:
     return [(int(at[starts[r[0]]] - 1), int(at[ends[r[-1]] - 1]), int(r[0]), int(r[-1])) for r in runs if len(r)]
 
 
-def _merged(runs: Column) -> Column:
-    """Spans of the runs (first, last, start, end) of all blocks; runs that overlap or follow each other make one."""
-
-    def step(a: Column, x: Column) -> Column:
-        last = F.get(a, F.size(a) - 1)
-        more = F.struct(F.greatest(last["last"], x["last"]).alias("last"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        fresh = F.struct(x["last"].alias("last"), x["start"].alias("start"), x["end"].alias("end"))
-        near = (F.size(a) > 0) & (x["first"] <= last["last"] + 1)
-        return F.when(near, F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(a, F.array(fresh)))
-
-    none = F.array().cast("array<struct<last:long,start:long,end:long>>")
-    return F.transform(F.aggregate(F.array_sort(runs), none, step), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def _blocks(items, width: int, block_chars: int):
+    """Lists of (item, text) whose windows have at most ``block_chars`` characters in all; a single window may be longer."""
+    held: list[tuple[object, str]] = []
+    size = 0
+    for item, text in items:
+        words = [w.decode("utf-8", "surrogatepass") for w in words_of(text)]
+        at = 0
+        while at < len(words):
+            stop, own = at + min(width, len(words)), 0
+            own = sum(len(w) + 1 for w in words[at:stop])
+            grown = own
+            while stop < len(words) and size + own + grown <= block_chars:
+                grown += len(words[stop]) - len(words[stop - width])
+                own += grown
+                stop += 1
+            if held and size + own > block_chars:
+                yield held
+                held, size = [], 0
+                continue
+            held.append((item, " ".join(words[at:stop])))
+            size += own
+            if stop == len(words):
+                break
+            at = stop - width + 1  # the next window
+    if held:
+        yield held
+
+
+_AUTO: dict = {}  # the last automaton of this worker process
+
+
+def _automaton(key: str, block: list, width: int):
+    if _AUTO.get("key") != key:
+        _AUTO.clear()
+        _AUTO.update(key=key, auto=build(block, width))
+    return _AUTO["auto"]
+
+
+def _gathered(batches, size: int):
+    """Frames of about ``size`` bytes of text each; smaller ones are put together, larger ones stay."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += int(pdf["text"].str.len().sum())
+        if n >= size:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    width: int = 10,
+    block_chars: int = 4 << 20,
+    batch_bytes: int = 32 << 20,
+    wave_chars: int = 256 << 20,
+) -> DataFrame:
     """(id, n_words, hits, spans, items): hit words' places, their spans in the original text, item ids as strings.
 
-    Null and empty texts have no words and no hits; items without words have no window. Repeated rows and rows with a null id
-    give a result each, whatever the number of blocks. Items with a null id count as one item, a null at the end of ``items``.
+    Null and empty texts have no words and no hits; items without words have no window. Every row, also a repeated one or one with a
+    null id, gives its own result, whatever the number of blocks. Items with a null id count as one item, a null at the end of
+    ``items``; equal ids are one item. An empty benchmark hits nothing. Columns other than those named are not read.
     """
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if blocks > 1:  # stored, so that each block sees equal keys
-        src = cut(src.withColumn("key", F.monotonically_increasing_id()))
-    keep = [c for c in src.columns if c != "text"]
-    kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{kinds}, n_words long, hits array<long>, runs array<struct<first:long,last:long,start:long,end:long>>, items array<string>"
-    parts = []
-    for b in range(blocks):
-        own = [(x.item, x.text) for x in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
-        sent = spark.sparkContext.broadcast(own)
-
-        def run(batches, sent=sent):
-            auto = build(sent.value, width)
-            for pdf in batches:
-                out: dict[str, list] = {"n_words": [], "hits": [], "runs": [], "items": []}
-                for text in pdf["text"]:
-                    text = text if isinstance(text, str) else ""
-                    n, hits, ids = scan_text(auto, text)
-                    out["n_words"].append(n)
-                    out["hits"].append(hits.tolist())
-                    out["runs"].append([{"first": f, "last": z, "start": s, "end": e} for s, e, f, z in spans_of(text, hits)] if len(hits) else [])
-                    out["items"].append(sorted(ids, key=lambda x: (x is None, x or "")))
-                yield pd.DataFrame({**{c: pdf[c] for c in keep}, **out})
-
-        parts.append(src.mapInPandas(run, schema))
-    out = parts[0]
-    if blocks > 1:  # a row for each document and block
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("key").agg(
-            F.first("id").alias("id"),
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-            F.flatten(F.collect_list("runs")).alias("runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-    spans = _merged(F.col("runs")) if blocks > 1 else F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return out.select(F.col("id").alias(id_col), "n_words", "hits", spans.alias("spans"), "items")
+    state = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("array<long>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+
+    def wave(state: DataFrame, blocks: list, last: bool) -> DataFrame:
+        sent = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks]
+
+        def run(batches):
+            for pdf in batches if len(sent) == 1 else _gathered(batches, batch_bytes):
+                texts = pdf["text"].tolist()
+                hits = [set(h) if h is not None else set() for h in pdf["hits"]]
+                ids = [set(i) if i is not None else set() for i in pdf["items"]]
+                sizes = [0] * len(texts)
+                for key, block in sent:
+                    auto = _automaton(key, block.value, width)
+                    for k, text in enumerate(texts):
+                        sizes[k], at, found = scan_text(auto, text)
+                        if len(at):
+                            hits[k].update(at.tolist())
+                            ids[k] |= found
+                out = {"id": pdf["id"], "hits": [sorted(h) for h in hits], "items": [sorted(x, key=lambda i: (i is None, i or "")) for x in ids]}
+                if last:
+                    spans = [spans_of(t, np.array(h)) if h else [] for t, h in zip(texts, out["hits"])]
+                    yield pd.DataFrame(out | {"n_words": sizes, "spans": [[{"start": s, "end": e} for s, e, _, _ in x] for x in spans]})
+                else:
+                    yield pd.DataFrame(out | {"text": pdf["text"]})
+
+        more = "n_words long, spans array<struct<start:int,end:int>>" if last else "text string"
+        return state.mapInPandas(run, f"id {kind}, hits array<long>, items array<string>, {more}")
+
+    held: list = []
+    size = 0
+    for block in _blocks(((x.item, x.text) for x in items.toLocalIterator()), width, block_chars):
+        if held and size + block_chars > wave_chars:
+            state = cut(wave(state, held, False))
+            held, size = [], 0
+        held.append(block)
+        size += block_chars
+    out = wave(state, held or [[]], True)
+    return out.select(F.col("id").alias(id_col), "n_words", "hits", "spans", "items")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,23 +208,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def brute(text: str | None, items: list[tuple[object, str | None]], width: int = 10) -> tuple[int, int, int, str, bool]:
-    """What the query returns for one text, word by word, for tests."""
-    import re
-
-    cut = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))
-    words, hit, ids = cut(text), set(), set()
-    for item, t in items:
-        own = cut(t)
-        for i in range(max(1, len(own) - width + 1)) if own else ():
-            w = own[i : i + width]
-            for k in range(len(words) - len(w) + 1):
-                if words[k : k + len(w)] == w:
-                    hit.update(range(k, k + len(w)))
-                    ids.add(str(item))
-    return len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
-
-
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL = f"""

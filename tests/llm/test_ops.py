@@ -176,14 +176,29 @@ def test_components(spark):
     assert {got[i] for i in range(n + 1)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
 
 
+def brute(text, items, width=10):
+    """What the query returns for one text, word by word."""
+    cut = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))
+    words, hit, ids = cut(text), set(), set()
+    for item, t in items:
+        own = cut(t)
+        for i in range(max(1, len(own) - width + 1)) if own else ():
+            w = own[i : i + width]
+            for k in range(len(words) - len(w) + 1):
+                if words[k : k + len(w)] == w:
+                    hit.update(range(k, k + len(w)))
+                    ids.add(str(item))
+    return len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
+
+
 @pytest.mark.parametrize("block", [16 << 20, 200])
 def test_decontamination(spark, block):
     items = [(1, " ".join(WORDS[:12])), (2, "tiny one"), (3, None), (4, "!!!"), (5, " ".join(WORDS[5:15]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = [*EDGE, "pre " + ", ".join(WORDS[:15]).upper() + " post", "a TINY... one b tiny one", " ".join(WORDS[:9])]
-    got = {r.doc_id: r for r in o3.decontaminate(docs(spark, texts), bench, block_bytes=block).collect()}
+    got = {r.doc_id: r for r in o3.decontaminate(docs(spark, texts), bench, block_chars=block).collect()}
     for i, t in enumerate(texts):
-        n, hit, k, digest, _ = o3.brute(t, items)
+        n, hit, k, digest, _ = brute(t, items)
         r = got[i]
         assert (r.n_words, len(r.hits), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) == (n, hit, k, digest)
     assert [texts[9][s.start : s.end] for s in got[9].spans] == ["TINY... one", "tiny one"]
@@ -194,13 +209,24 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     bench = spark.createDataFrame(items, "item_id string, text string")
     rows = [(None, " ".join(WORDS[:18])), (None, "a tiny one"), (None, "clean"), (1, "a lost item"), (1, "a tiny one"), (1, "a tiny one"), (2, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [sorted(map(str, o3.decontaminate(d, bench, block_bytes=size).collect())) for size in (16 << 20, 100, 30)]
-    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
-    by = {str(r.n_words): r for r in o3.decontaminate(d, bench, block_bytes=30).collect() if r.doc_id is None}
+    got = [sorted(map(str, o3.decontaminate(d, bench, block_chars=size, batch_bytes=n, wave_chars=wave).collect())) for size, n, wave in ((16 << 20, 1, 1 << 30), (100, 9, 1 << 30), (30, 1 << 20, 1 << 30), (1, 50, 3))]
+    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2] == got[3]
+    by = {str(r.n_words): r for r in o3.decontaminate(d, bench, block_chars=30).collect() if r.doc_id is None}
     assert list(by["18"].hits) == list(range(18)) and [(s.start, s.end) for s in by["18"].spans] == [(0, len(rows[0][1]))] and by["18"]["items"] == ["1", "5", "6"]
     assert by["3"]["items"] == ["7", None] and not by["1"].hits
 
 
+def test_blocks_hold_every_window():
+    rng = np.random.default_rng(13)
+    items = [(i, " ".join(rng.choice(WORDS, n))) for i, n in enumerate((1, 9, 10, 11, 200, 37, 500))] + [(8, ""), (9, None)]
+    want = {(i, w) for i, t in items for w in o3.windows_of(o3.words_of(t), 10)}
+    for size in (1, 100, 1000, 10_000, 1 << 20):
+        blocks = list(o3._blocks(iter(items), 10, size))
+        assert {(i, w) for b in blocks for i, t in b for w in o3.windows_of(o3.words_of(t), 10)} == want
+        sizes = [sum(len(w) + 1 for _, t in b for w in o3.windows_of(o3.words_of(t), 10)) for b in blocks]
+        assert max(sizes) <= max(size, 110)
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><h1>T &amp; U</h1><p><b>One <i>two</i><br><p>three&nbsp; four<ul><li>x<li>y</ul><div class=comments><p>me too</div></article><footer>f</footer>"
     rows = [(0, "http://h.com/1", page), (1, "http://h.com/2", page.replace("T &amp;", "Z")), (2, None, None), (3, "odd", "plain <b>text</b> &lt;x&gt;"), (4, "http://h.com/3", "<p>unclosed <")]
