@@ -6,20 +6,20 @@ labelled k-mers, kept in text order, make one sketch value: equal values need eq
 to edit similarity. Each value is a bucket key.
 
 A pair's similarity is 1 - (edits between the word sequences) / (words of the longer one): a bit-parallel alignment inside the
-band that the threshold leaves, after equal ends are cut off and a bound by common words is passed. So a text of 100 words
-with 20 changed words is still found; of its five-word k-mers hardly any may be left, so the sketches set the recall.
+band that the threshold leaves, after equal ends are cut off and a bound by common words is passed. Texts of which every seventh
+word differs are still found, though they share few five-word k-mers; the sketches set the recall.
 
 Texts of equal words collapse first to one node (128 bits of hash), so exact copies, however many, cost one aggregation.
-In a bucket no pairs are listed. Up to four members are hubs, those that meet most others in all buckets: a few
-maxima of one aggregation. Every member is compared with the first hub, then with the other hubs that are not in its class by
-then. What is neither a hub nor in the first hub's class is open, and may still be similar to another member that is no hub. These pairs
-come from an equi-join on rare two-word tokens (prefix filter): n words within the threshold keep more than n - 1 - 2(1 - threshold)n of
-their tokens, so two such texts share one of the first 2(1 - threshold)n + 1 in any common order; the order is by rising number of
-occurrences, counted in a table of fixed size. So no link between members of a bucket is lost, but for pairs that are of
-one class anyway, which are not compared.
-
-Worst case: texts of which a very common passage makes 60 to 80 % have no rare token left to tell them apart, and all pairs of them that
-are open in a bucket are aligned.
+In a bucket no pairs are listed. In each of three rounds some members are hubs (the one that meets most others in all buckets, then one
+of each of four hash groups), found by maxima, and each member that is not in a hub's class by then is compared with it: near copies end up in
+one class after a round or two. Buckets whose other members are still of several classes are left. There, pairs come from an
+equi-join on rare runs of words: a text is cut into runs of one to three words, as short as a common counter table allows; an edit
+spoils one run at most, so of the (1 - threshold)n + 1 rarest runs of the longer text one is left in any similar text, and that
+text has it among its own runs. The counter table has a fixed size. So no link between members of a bucket is lost, but for pairs that are of one
+class anyway, which are not compared.
+
+Worst case: texts of which a very common passage makes up nearly as much as the threshold have no rare run left to tell them apart, and
+their pairs are aligned.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import Stored, cut, table
@@ -36,7 +36,7 @@ from ._util import Stored, cut, table
 NAME = "op2_neardup"
 
 _SPLIT = r"[^\p{L}\p{N}]+"
-_HUBS, _COUNTERS = 4, 1 << 20
+_HUBS, _ROUNDS, _COUNTERS = 4, 3, 1 << 18
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -169,7 +169,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, sketches: int = 16, ell: int = 2, seed: int = 7
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.85, sketches: int = 16, ell: int = 2, seed: int = 7
 ) -> DataFrame:
     """(id, class_id, kept) of every row; class_id is the smallest id of the class, kept is true for one row of the class, which has that id.
 
@@ -179,26 +179,33 @@ def near_duplicates(
     keeps one of them. ``sketches`` and ``ell`` set the recall: with a share s of common k-mers about 1 - (1 - s**ell)**sketches a pair.
     Texts of under k words are one k-mer and meet equal ones alone. Columns other than the two named are not read.
     """
-    if not 0.8 <= threshold <= 1:
-        raise ValueError("the filters hold for thresholds from 0.8 on")
+    if not 0.85 <= threshold <= 1:
+        raise ValueError("the segments suffice for thresholds from 0.85 on")
     rng = np.random.default_rng(seed)
     seeds = rng.integers(0, 2**63, sketches, dtype=np.uint64)
     kind = df.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(F.lower(text), _SPLIT, -1), lambda w: w != "")
-    src = df.select(F.col(id_col).alias("id"), text.alias("text"), words.alias("w"))
-    norm = F.when(F.size("w") > 0, F.array_join("w", " ")).otherwise(F.concat(F.lit("\u0000"), F.col("text")))
-    src = src.select("id", F.unhex(F.md5(norm.cast("binary"))).alias("node"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sketch(batches):
         for pdf in batches:
             sk = [order_minhash(np.asarray(w, dtype=np.int64).view(np.uint64), k, ell, seeds).view(np.int64) if len(w) else np.zeros(0, dtype=np.int64) for w in pdf["w"]]
-            yield pd.DataFrame({"id": pdf["id"], "node": pdf["node"], "sk": sk})
+            yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "node": pdf["node"], "sk": sk})
 
-    rows = cut(src.mapInPandas(sketch, f"id {kind}, node binary, sk array<long>"))
-    reps = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("sk").alias("sk")))
+    cutter = _worded(src.select("id", F.xxhash64("text").alias("h"), "text")).select("id", "h", "node", "w")
+    rows = cut(cutter.mapInPandas(sketch, f"id {kind}, h long, node binary, sk array<long>"))
+    # the smallest id of a node that has one, and the hash of a text of that id
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
+    reps = cut(rows.groupBy("node").agg(first, F.first("sk").alias("sk")).select("node", F.col("first.id").alias("rep"), F.col("first.h").alias("h"), "sk"))
     cells = reps.select("node", F.posexplode("sk").alias("f", "v")).select(F.xxhash64("f", "v").alias("key"), "node")
-    classes = _classes(cells, src.select("node", "w"), threshold)
+
+    def words(nodes: DataFrame) -> DataFrame:
+        """(node, w) of some nodes: of all rows one a node is taken by id and text hash before its words are cut."""
+        need = reps.join(nodes, "node").select(F.col("rep").alias("need"), F.col("h").alias("need_h"), F.col("node").alias("need_node"))
+        texts = src.withColumn("h", F.xxhash64("text"))
+        found = texts.join(need, (F.col("h") == F.col("need_h")) & F.col("id").eqNullSafe(F.col("need"))).select(F.col("need_node").alias("node"), "text")
+        return found.withColumn("words", words_of(F.col("text"))).select("node", hashes(F.col("words")).alias("w")).groupBy("node").agg(F.first("w").alias("w"))
+
+    classes = _classes(cells, words, threshold)
     named = reps.select("node", "rep").join(classes, "node", "left").select("node", "rep", F.coalesce("class", "node").alias("class"))
     least = named.groupBy("class").agg(F.min("rep").alias("class_id"), F.min_by("node", F.struct(F.col("rep").isNull(), "rep", "node")).alias("chosen"))
     named = named.join(least, "class").select("node", "class_id", (F.col("node") == F.col("chosen")).alias("own"))
@@ -209,50 +216,95 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("own") & (F.col("i") == 1)).alias("kept"))
 
 
-def tokens_of(words: np.ndarray) -> np.ndarray:
-    """Hashes of the two-word tokens, labelled by how often each has occurred before; one word is a token of its own."""
-    grams = np.sort(_kmers(words, 2))
-    fresh = np.concatenate(([True], grams[1:] != grams[:-1]))
-    place = np.arange(len(grams))
-    return _mix(grams + (place - np.maximum.accumulate(np.where(fresh, place, 0))).astype(np.uint64) * _M1)
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), _SPLIT, -1), lambda w: w != "")
+
+
+def hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _worded(df: DataFrame) -> DataFrame:
+    """``df`` with the hashes ``w`` of the words of ``text`` and 128 bits ``node`` that stand for the words, or for the text if it has none."""
+    norm = F.when(F.size("words") > 0, F.array_join("words", " ")).otherwise(F.concat(F.lit("\u0000"), F.col("text")))
+    return df.withColumn("words", words_of(F.col("text"))).select(*df.columns, F.unhex(F.md5(norm.cast("binary"))).alias("node"), hashes(F.col("words")).alias("w"))
 
 
-def _rare_tokens(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, n, token) from (node, w): the tokens of the prefix filter that may occur in another text."""
+def grams_of(words: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the runs of one, two and three words, by their start."""
+    return [_mix(_kmers(words, k) + np.uint64(k)) if len(words) >= k else np.zeros(0, dtype=np.uint64) for k in (1, 2, 3)]
+
+
+def segments(grams: list[np.ndarray], often: list[np.ndarray], rare: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, count, length) at each word's place: the shortest run of one to three words there with a count up to ``rare``, else three words.
+
+    It depends on the run's words alone. The last places that are too short for theirs have the length 0.
+    """
+    n = len(grams[0])
+    token, count, size = grams[0].copy(), often[0].copy(), np.ones(n, dtype=np.int64)
+    for k in (2, 3):
+        long = np.flatnonzero(count > rare) if k == 2 else np.flatnonzero((size == 2) & (count > rare))
+        size[long] = k
+        there = long[long < len(grams[k - 1])]
+        token[there], count[there] = grams[k - 1][there], often[k - 1][there]
+        size[long[long >= len(grams[k - 1])]] = 0
+    return token, count, size
+
+
+def chosen(token: np.ndarray, count: np.ndarray, size: np.ndarray, edits: int) -> np.ndarray:
+    """Places of the ``edits + 1`` rarest of the segments that follow each other from the first word on."""
+    places, i, jump = [], 0, size.tolist()
+    while i < len(jump):
+        if jump[i]:
+            places.append(i)
+        i += max(1, jump[i])
+    at = np.array(places, dtype=np.int64)
+    return at[np.lexsort((token[at], count[at]))[: edits + 1]]
+
+
+def _tokens(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, token, asks) from (node, w): ``asks`` for the rare segments of a text, one of which is left in whatever is similar and no longer."""
     cells = np.uint64(_COUNTERS - 1)
 
+    def cell(x: np.ndarray) -> np.ndarray:
+        return (x & cells).astype(np.int64)
+
     def count(batches):
         total = np.zeros(_COUNTERS, dtype=np.int64)
         for pdf in batches:
-            own = [tokens_of(np.asarray(w, dtype=np.int64).view(np.uint64)) & cells for w in pdf["w"]]
+            own = [cell(np.unique(np.concatenate(grams_of(np.asarray(w, dtype=np.int64).view(np.uint64))))) for w in pdf["w"]]
             if own:
-                total += np.bincount(np.concatenate(own).astype(np.int64), minlength=_COUNTERS)
+                total += np.bincount(np.concatenate(own), minlength=_COUNTERS)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"cell": some, "n": total[some]})
 
     table_ = np.zeros(_COUNTERS, dtype=np.int64)
     counts = members.select("w").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # of fixed size
     table_[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    sent = members.sparkSession.sparkContext.broadcast(np.minimum(table_, 2**31 - 1).astype(np.int32))
+    sent = members.sparkSession.sparkContext.broadcast((np.minimum(table_, 2**31 - 1).astype(np.int32), 8 + 4 * float(table_.mean())))
 
     def choose(batches):
+        often, rare = sent.value
         for pdf in batches:
-            nodes, sizes, found = [], [], []
+            nodes, sizes, found, asks = [], [], [], []
             for node, w in zip(pdf["node"], pdf["w"]):
-                t = tokens_of(np.asarray(w, dtype=np.int64).view(np.uint64))
-                often = sent.value[(t & cells).astype(np.int64)]
-                first = np.lexsort((t, often))[: math.floor(2 * (1 - threshold) * len(w) + 1e-9) + 1]
-                t = t[first][often[first] > 1]  # one that occurs once leads nowhere
-                nodes += [node] * len(t)
-                sizes += [len(w)] * len(t)
-                found.append(t.view(np.int64))
-            yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "n": np.array(sizes, dtype=np.int64), "token": np.concatenate(found) if found else np.zeros(0, dtype=np.int64)})
+                grams = grams_of(np.asarray(w, dtype=np.int64).view(np.uint64))
+                token, count, size = segments(grams, [often[cell(g)] for g in grams], rare)
+                real = (size > 0) & (count > 1)  # one that occurs in one text leads nowhere
+                at = chosen(token, count, size, math.floor((1 - threshold) * len(w) + 1e-9))
+                own, ask = np.unique(token[real]), np.unique(token[at[real[at]]])
+                nodes += [node] * (len(own) + len(ask))
+                sizes += [len(w)] * (len(own) + len(ask))
+                found += [own, ask]
+                asks += [np.zeros(len(own), dtype=bool), np.ones(len(ask), dtype=bool)]
+            token = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
+            yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "n": np.array(sizes, dtype=np.int64), "token": token, "asks": np.concatenate(asks) if asks else np.zeros(0, dtype=bool)})
 
-    return members.mapInPandas(choose, "node binary, n long, token long")
+    return members.mapInPandas(choose, "node binary, n long, token long, asks boolean")
 
 
-def _classes(cells: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """(node, class) of the nodes with links, from bucket rows (key, node) and the nodes' words (any number of equal rows a node)."""
+def _classes(cells: DataFrame, words, threshold: float) -> DataFrame:
+    """(node, class) of the nodes with links, from bucket rows (key, node); ``words`` gives (node, w) of a frame of nodes."""
 
     def verify(batches):
         for pdf in batches:
@@ -262,7 +314,7 @@ def _classes(cells: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     shared = cells.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     base = cut(cells.join(shared, "key"))
     central = base.groupBy("node").agg(F.sum("n").alias("rank"))
-    held = cut(words.join(central.select("node"), "node", "left_semi").groupBy("node").agg(F.first("w").alias("w")))
+    held = cut(words(central.select("node")))
     wa, wb = held.select(F.col("node").alias("a"), F.col("w").alias("wa")), held.select(F.col("node").alias("b"), F.col("w").alias("wb"))
 
     def pairs(d: DataFrame, x: str, y: str) -> DataFrame:
@@ -271,46 +323,40 @@ def _classes(cells: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     def verified(asked: DataFrame) -> DataFrame:
         return cut(asked.join(wa, "a").join(wb, "b").mapInPandas(verify, "a binary, b binary"))
 
-    # hubs: the most central member of each of _HUBS groups of a bucket's members, by maxima
-    ranked = base.join(central, "node").select("key", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(_HUBS)).alias("g"), F.struct("rank", "node").alias("m"))
-    tops = ranked.groupBy("key").agg(*(F.max(F.when(F.col("g") == i, F.col("m"))).alias(f"m{i}") for i in range(_HUBS)))
-    ordered = F.sort_array(F.array_compact(F.array(*(f"m{i}" for i in range(_HUBS)))), asc=False)
-    hubs = cut(tops.select("key", F.transform(ordered, lambda m: m["node"]).alias("hubs")))
-
-    first = cut(pairs(base.join(hubs, "key").select("node", F.col("hubs")[0].alias("hub")), "node", "hub"))
-    links = verified(first)
-    named = connected(links)
-
-    def classed(d: DataFrame, node: str, name: str) -> DataFrame:
-        return d.join(named.select(F.col("node").alias(node), F.col("class").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-
-    # buckets of more than two members: the other hubs
-    more = base.filter("n > 2").select("key", "node")
-    others = classed(hubs.filter(F.size("hubs") > 1).select("key", F.explode(F.slice("hubs", 2, _HUBS)).alias("hub")), "hub", "of_hub")
-    others = others.groupBy("key").agg(F.collect_list(F.struct("hub", "of_hub")).alias("others"))  # _HUBS at most
-    asked = classed(more, "node", "of").join(others, "key").select("node", "of", F.inline("others")).filter("of <> of_hub")
-    second = cut(pairs(asked, "node", "hub").join(first, ["a", "b"], "left_anti"))
-    links2 = verified(second)
-    star = named.select(F.col("node").alias("a"), F.col("class").alias("b"))
-    named = connected(star.unionByName(links2))
-
-    # members that are no hubs: open outside the first hub's class
-    top = classed(hubs.select("key", "hubs", F.col("hubs")[0].alias("hub")), "hub", "of_hub").select("key", "hubs", "of_hub")
-    rest = classed(base.filter("n > 3").select("key", "node"), "node", "of").join(top, "key").filter(~F.array_contains("hubs", F.col("node")))
-    rest = cut(rest.select("key", "node", "of", (F.col("of") != F.col("of_hub")).alias("open")))
-    opened = rest.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("any and n > 1").select("key")
-    members = cut(rest.join(opened, "key", "left_semi").groupBy("node").agg(F.first("of").alias("of"), F.max("open").alias("open")))
-    if not members.take(1):
-        return named
-    tokens = cut(_rare_tokens(held.join(members, "node", "left_semi"), threshold).join(members, "node"))
-    x = tokens.filter("open").select("token", F.col("node").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("nx"))
-    y = tokens.select("token", F.col("node").alias("y"), F.col("of").alias("of_y"), F.col("open").alias("oy"), F.col("n").alias("ny"))
-    fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny") - F.lit(1e-6)
-    met = x.join(y, "token").filter((F.col("of_x") != F.col("of_y")) & (~F.col("oy") | (F.col("x") < F.col("y"))) & fits)
-    third = pairs(met, "x", "y").join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    links3 = verified(third)
+    links, named, asked, used = None, None, None, None
+    base = cut(base.join(central, "node").select("key", "node", "rank"))
+    left = base.withColumn("of", F.col("node"))
+    for r in range(_ROUNDS):
+        # hubs by maxima: first the most central member of a bucket, later one of each of _HUBS groups of those that are left
+        if r:
+            picks = [F.max(F.when(F.pmod(F.xxhash64("node", F.lit(-r)), F.lit(_HUBS)) == i, F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "of"))) for i in range(_HUBS)]
+        else:
+            picks = [F.max(F.struct("rank", "node", "of"))]
+        tops = left.groupBy("key").agg(*(p.alias(f"m{i}") for i, p in enumerate(picks)))
+        hubs = cut(tops.select("key", F.explode(F.array_compact(F.array(*(f"m{i}" for i in range(len(picks)))))).alias("m")).select("key", F.col("m.node").alias("hub"), F.col("m.of").alias("of_hub")))
+        listed = hubs.groupBy("key").agg(F.collect_list(F.struct("hub", "of_hub")).alias("hubs"))  # _HUBS at most
+        now = pairs(left.join(listed, "key").select("node", "of", F.inline("hubs")).filter("of <> of_hub"), "node", "hub")
+        now = cut(now if asked is None else now.join(asked, ["a", "b"], "left_anti"))
+        found = verified(now)
+        asked = now if asked is None else asked.unionByName(now)
+        used = hubs.select("key", F.col("hub").alias("node")) if used is None else used.unionByName(hubs.select("key", F.col("hub").alias("node")))
+        links = found if named is None else named.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(found)
+        named = connected(links)
+        # what is left: members that have been no hubs, of buckets where these are of several classes
+        of = named.select("node", F.col("class").alias("of"))
+        left = base.join(used, ["key", "node"], "left_anti").join(of, "node", "left").withColumn("of", F.coalesce("of", "node"))
+        mixed = left.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo <> hi").select("key")
+        left = cut(left.join(mixed, "key"))
+        if not left.take(1):
+            return named
+    members = cut(left.groupBy("node").agg(F.first("of").alias("of")))
+    tokens = cut(_tokens(held.join(members, "node", "left_semi"), threshold).join(members, "node"))
+    x, y = (tokens.filter(side).select("token", F.col("node").alias(c), F.col("of").alias(f"of_{c}"), F.col("n").alias(f"n_{c}")) for c, side in (("x", "asks"), ("y", "not asks")))
+    shorter = (F.col("n_y") < F.col("n_x")) | (F.col("n_y") == F.col("n_x")) & (F.col("x") < F.col("y"))
+    met = x.join(y, "token").filter((F.col("of_x") != F.col("of_y")) & shorter & (F.col("n_y") >= F.lit(threshold) * F.col("n_x") - F.lit(1e-6)))
+    last = pairs(met, "x", "y").join(asked, ["a", "b"], "left_anti")
     star = named.select(F.col("node").alias("a"), F.col("class").alias("b"))
-    return connected(star.unionByName(links3))
+    return connected(star.unionByName(verified(last)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

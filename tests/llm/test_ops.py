@@ -116,12 +116,13 @@ def test_similarity_is_edit_similarity():
         assert (o2.similarity(a, b, 0.7) >= 0.7 - 1e-9) == (s >= 0.7 - 1e-9)
 
 
-def test_prefix_tokens_lose_no_pair():
+def test_rare_runs_lose_no_pair():
     rng = np.random.default_rng(6)
-    for _ in range(300):
-        a = rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint64)
+    pairs = 0
+    for _ in range(600):
+        a = rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint64)
         b = list(a)
-        for _ in range(int(0.2 * len(a))):
+        for _ in range(int(rng.integers(0, 0.2 * len(a) + 1))):
             at = int(rng.integers(0, len(b)))
             match rng.integers(3):
                 case 0:
@@ -130,15 +131,25 @@ def test_prefix_tokens_lose_no_pair():
                     b.insert(at, np.uint64(98))
                 case _ if len(b) > 1:
                     del b[at]
-        b = np.array(b, dtype=np.uint64)
-        if o2.similarity(a, b, 0.8) < 0.8 - 1e-9:
+        a, b = sorted((a, np.array(b, dtype=np.uint64)), key=len, reverse=True)
+        if o2.similarity(a, b, 0.85) < 0.85 - 1e-9:
             continue
-        first = [set(np.sort(o2.tokens_of(x))[: int(0.4 * len(x) + 1e-9) + 1].tolist()) for x in (a, b)]
-        assert first[0] & first[1]
+        count = rng.integers(1, 60, 1 << 12)
+        at = lambda g: count[(g & np.uint64(4095)).astype(int)]
+        (tx, cx, sx), (ty, _, sy) = (o2.segments(g, [at(k) for k in g], rng_rare) for g, rng_rare in ((o2.grams_of(a), 20), (o2.grams_of(b), 20)))
+        edits = int(0.15 * len(a) + 1e-9)
+        ask = o2.chosen(tx, cx, sx, edits)
+        if edits:
+            assert len(ask) == edits + 1
+        else:
+            assert (a == b).all()
+        assert not len(ask) or set(tx[ask].tolist()) & set(ty[sy > 0].tolist())
+        pairs += 1
+    assert pairs > 200
 
 
 def test_near_duplicates_of_a_whole_table(spark):
-    """All pairs of sf0.001: every pair of similarity 0.8 or more is in one class, and classes hold nothing else."""
+    """All pairs of sf0.001: every pair of similarity 0.85 or more is in one class, and classes hold nothing else."""
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     words = {r.doc_id: np.array([hash(w) for w in re.findall(r"[^\W_]+", (r.text or "").lower())]) for r in d.collect()}
     got = {r.doc_id: r.class_id for r in o2.near_duplicates(d).collect()}
@@ -150,7 +161,7 @@ def test_near_duplicates_of_a_whole_table(spark):
             i = up[i]
         return i
 
-    near = [(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if o2.similarity(words[i], words[j], 0.8) >= 0.8 - 1e-9]
+    near = [(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if o2.similarity(words[i], words[j], 0.85) >= 0.85 - 1e-9]
     for i, j in near:
         up[max(top(i), top(j))] = min(top(i), top(j))
     differ = [(i, j) for i, j in near if len(words[i]) != len(words[j]) or (words[i] != words[j]).any()]
