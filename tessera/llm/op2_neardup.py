@@ -36,7 +36,7 @@ from ._util import Stored, cut, table
 NAME = "op2_neardup"
 
 _SPLIT = r"[^\p{L}\p{N}]+"
-_HUBS, _ROUNDS, _COUNTERS = 4, 3, 1 << 18
+_HUBS, _ROUNDS, _COUNTERS, _BITS = 4, 3, 1 << 18, 1 << 22
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -262,45 +262,65 @@ def chosen(token: np.ndarray, count: np.ndarray, size: np.ndarray, edits: int) -
     return at[np.lexsort((token[at], count[at]))[: edits + 1]]
 
 
-def _tokens(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, n, token, asks) from (node, w): ``asks`` for the rare segments of a text, one of which is left in whatever is similar and no longer."""
-    cells = np.uint64(_COUNTERS - 1)
+def _tokens(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(token, node, n, of) twice from (node, w, of): the rare segments of each text, and of all texts those runs of words that may be asked for.
+
+    One of its rare segments is left in whatever is similar to a text and no longer.
+    """
+    cells, bits = np.uint64(_COUNTERS - 1), np.uint64(_BITS - 1)
 
     def cell(x: np.ndarray) -> np.ndarray:
         return (x & cells).astype(np.int64)
 
+    def hashed(w) -> list[np.ndarray]:
+        return grams_of(np.asarray(w, dtype=np.int64).view(np.uint64))
+
     def count(batches):
         total = np.zeros(_COUNTERS, dtype=np.int64)
         for pdf in batches:
-            own = [cell(np.unique(np.concatenate(grams_of(np.asarray(w, dtype=np.int64).view(np.uint64))))) for w in pdf["w"]]
+            own = [cell(np.unique(np.concatenate(hashed(w)))) for w in pdf["w"]]
             if own:
                 total += np.bincount(np.concatenate(own), minlength=_COUNTERS)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"cell": some, "n": total[some]})
 
+    spark = members.sparkSession
     table_ = np.zeros(_COUNTERS, dtype=np.int64)
     counts = members.select("w").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # of fixed size
     table_[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    sent = members.sparkSession.sparkContext.broadcast((np.minimum(table_, 2**31 - 1).astype(np.int32), 8 + 4 * float(table_.mean())))
+    sent = spark.sparkContext.broadcast((np.minimum(table_, 2**31 - 1).astype(np.int32), 8 + 4 * float(table_.mean())))
 
-    def choose(batches):
-        often, rare = sent.value
-        for pdf in batches:
-            nodes, sizes, found, asks = [], [], [], []
-            for node, w in zip(pdf["node"], pdf["w"]):
-                grams = grams_of(np.asarray(w, dtype=np.int64).view(np.uint64))
-                token, count, size = segments(grams, [often[cell(g)] for g in grams], rare)
-                real = (size > 0) & (count > 1)  # one that occurs in one text leads nowhere
-                at = chosen(token, count, size, math.floor((1 - threshold) * len(w) + 1e-9))
-                own, ask = np.unique(token[real]), np.unique(token[at[real[at]]])
-                nodes += [node] * (len(own) + len(ask))
-                sizes += [len(w)] * (len(own) + len(ask))
-                found += [own, ask]
-                asks += [np.zeros(len(own), dtype=bool), np.ones(len(ask), dtype=bool)]
-            token = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
-            yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "n": np.array(sizes, dtype=np.int64), "token": token, "asks": np.concatenate(asks) if asks else np.zeros(0, dtype=bool)})
-
-    return members.mapInPandas(choose, "node binary, n long, token long, asks boolean")
+    def emit(pick):
+        def run(batches):
+            often, rare = sent.value
+            for pdf in batches:
+                found = []
+                for w in pdf["w"]:
+                    grams = hashed(w)
+                    token, n, size = segments(grams, [often[cell(g)] for g in grams], rare)
+                    found.append(np.unique(pick(token, n, size, len(w))).view(np.int64))
+                each = np.repeat(np.arange(len(pdf)), [len(x) for x in found])
+                yield pd.DataFrame({"token": np.concatenate(found) if found else np.zeros(0, dtype=np.int64), "node": pdf["node"].to_numpy()[each], "n": pdf["w"].str.len().to_numpy(np.int64)[each], "of": pdf["of"].to_numpy()[each]})
+
+        return members.mapInPandas(run, "token long, node binary, n long, of binary")
+
+    def asked(token, n, size, words):
+        at = chosen(token, n, size, math.floor((1 - threshold) * words + 1e-9))
+        return token[at[n[at] > 1]]  # a run that occurs in one text leads nowhere
+
+    asks = cut(emit(asked))
+    bit = F.col("token").bitwiseAND(F.lit(_BITS - 1))
+    some = asks.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toPandas()  # of fixed size
+    mask = np.zeros(_BITS // 32, dtype=np.uint32)
+    mask[some["at"].to_numpy(np.int64)] = some["bits"].to_numpy(np.int64).astype(np.uint32)
+    wanted = spark.sparkContext.broadcast(mask)
+
+    def answers(token, n, size, words):
+        at = token & bits
+        hit = (wanted.value[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+        return token[(size > 0) & (hit > 0)]
+
+    return asks, emit(answers)
 
 
 def _classes(cells: DataFrame, words, threshold: float) -> DataFrame:
@@ -350,8 +370,8 @@ def _classes(cells: DataFrame, words, threshold: float) -> DataFrame:
         if not left.take(1):
             return named
     members = cut(left.groupBy("node").agg(F.first("of").alias("of")))
-    tokens = cut(_tokens(held.join(members, "node", "left_semi"), threshold).join(members, "node"))
-    x, y = (tokens.filter(side).select("token", F.col("node").alias(c), F.col("of").alias(f"of_{c}"), F.col("n").alias(f"n_{c}")) for c, side in (("x", "asks"), ("y", "not asks")))
+    asks, answers = _tokens(held.join(members, "node"), threshold)
+    x, y = (d.select("token", F.col("node").alias(c), F.col("of").alias(f"of_{c}"), F.col("n").alias(f"n_{c}")) for c, d in (("x", asks), ("y", answers)))
     shorter = (F.col("n_y") < F.col("n_x")) | (F.col("n_y") == F.col("n_x")) & (F.col("x") < F.col("y"))
     met = x.join(y, "token").filter((F.col("of_x") != F.col("of_y")) & shorter & (F.col("n_y") >= F.lit(threshold) * F.col("n_x") - F.lit(1e-6)))
     last = pairs(met, "x", "y").join(asked, ["a", "b"], "left_anti")
