@@ -2,7 +2,7 @@
 
 Documents of equal text form a group. Groups lighter than ``1 / heavy`` of a shard in every dimension are bundled by
 a hash of their text into a fixed number of bundles, heavier ones stand alone, and one that is heavier than
-``1 / split`` of a shard is divided by a hash of the doc_id into pieces. So the number of items to pack is bounded by
+``1 / split`` of a shard is divided by a hash of the row into pieces. So the number of items to pack is bounded by
 ``bundles + 3 * shards * heavy + pieces`` whatever the input, and each row finds its item from its own columns and the
 bounded list of heavy groups. Items are placed in order of falling weight where the dot product of their
 vector with the shard's residual capacity is highest.
@@ -35,11 +35,12 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def assign(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", bundles: int = 256, heavy: int = 128, split: int = 8) -> DataFrame:
+def assign(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", bundles: int = 256, heavy: int = 128, split: int = 8, slices: int = 1024) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row; law ``bytes``.
 
     size: UTF-8 bytes of the text plus 8 (null: none). ``bundles`` is a number per shard. Rows are equal citizens: repeated
-    rows get slots of their own, a null id counts as its own hash value, an empty table gives no rows. A group stays in
+    rows get slots of their own, a null id counts as an id, an empty table gives no rows. Shards and slots depend on the rows alone, not on
+    partitions or settings (``slices`` of a shard are numbered apart). A group stays in
     one shard unless it holds over 1/``split`` of a shard's capacity. Columns other than the two named are not read.
     """
     text = F.col(text_col)
@@ -50,7 +51,7 @@ def assign(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: st
         F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long").alias("tokens"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("g1"),
         F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("g2"),
-        F.xxhash64(F.col(id_col)).alias("hid"),
+        F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))).alias("hid"),
     )
     rows = cut(rows)
     groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
@@ -72,7 +73,6 @@ def assign(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: st
     place = pack(np.array([[x.b, x.t, x.r] for x in sums], dtype=float).reshape(-1, 3), shards)
     spark = df.sparkSession
     plan = spark.createDataFrame([(x.k1, x.k2, x.piece, int(s)) for x, s in zip(sums, place)], "k1 long, k2 long, piece int, shard int")
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     placed = items.join(F.broadcast(plan), ["k1", "k2", "piece"]).withColumn("slice", F.pmod("hid", F.lit(slices)))
     counts = placed.groupBy("shard", "slice").agg(F.count("*").alias("n"))
     before = W.Window.partitionBy("shard").orderBy("slice").rowsBetween(W.Window.unboundedPreceding, -1)
