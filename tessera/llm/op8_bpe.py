@@ -10,6 +10,7 @@ replacement and lower case, and a pre-tokeniser of Split and ByteLevel; added to
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 
@@ -119,9 +120,28 @@ class WordBpe:
 _CLIP = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def checked(spec: dict) -> dict:
+    """``spec``, if it is of the kind that ``WordBpe`` handles; else a ValueError says what is not."""
+    model, norm, pre = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [(n.get("type"), n.get("pattern"), n.get("content")) for n in norm.get("normalizers", [norm])]
+    cuts = pre.get("pretokenizers", [pre])
+    split = cuts[0] if cuts else {}
+    for ok, what in (
+        (model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not model.get("continuing_subword_prefix"), "model"),
+        (steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)], "normalizer"),
+        ([p.get("type") for p in cuts] == ["Split", "ByteLevel"] and split["behavior"] == "Removed" and split["invert"] and not cuts[1]["add_prefix_space"], "pre_tokenizer"),
+        (not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]), "added_tokens"),
+    ):
+        if not ok:
+            raise ValueError(f"a {what} of another kind: {spec.get(what)!r:.300}")
+    return spec
+
+
+@functools.lru_cache(1)
 def load(path: str) -> WordBpe:
+    """The encoder of a file, one for all tasks of a worker process, so that later tasks know the words of earlier ones."""
     with open(path, encoding="utf-8") as f:
-        return WordBpe(json.load(f))
+        return WordBpe(checked(json.load(f)))
 
 
 def default_path() -> str:
