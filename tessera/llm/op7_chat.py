@@ -7,7 +7,7 @@ blocks are concatenated:
 
 ``<|im_sep|>`` stands between the texts of a merged block, so the turns can be read back one by one. Control strings
 inside a text are made harmless by one more backslash in ``<\*|`` (``<|`` becomes ``<\|``), which one less undoes;
-formatted text holds ``<|`` in control strings alone. In roles a backslash and a line feed are escaped as well.
+formatted text holds ``<|`` in control strings alone. In roles a backslash becomes ``\s`` and a line feed ``\n`` before that.
 
 The loss mask is run-length coded over the formatted string: array<struct<n, loss>> in code points; true covers the
 texts of assistant turns and nothing else.
@@ -22,6 +22,7 @@ from ._util import table
 
 NAME = "op7_chat"
 
+_RUN = 128
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
 
@@ -34,37 +35,36 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    # "\\n" must not read as a line feed: pairs of backslashes are set aside first
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\u0000"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+    # every backslash that is left after unescape() is the first sign of \s or \n
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """(conv, formatted, mask), one row per conversation.
 
     A null text or role counts as empty, a null turn comes first, a null conversation id is a conversation like any
-    other. Equal turns are ordered by role, then text, so repeated rows stay and the result is defined. An empty table gives no rows.
+    other. Equal turns are ordered by role, then text, so repeated rows stay and the result is defined. An empty table gives no rows;
+    columns other than the four named are not read. A conversation is one row, so the longest one must fit a task.
     """
     turns = df.select(
         F.col(conv_col).alias("conv"),
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
     )
     sorted_turns = F.sort_array(F.collect_list("t"))
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-
-    def merge(done: Column, t: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        text = F.array(escape(t["text"]))
-        longer = F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], text).alias("texts")))
-        fresh = F.array(F.struct(t["role"].alias("role"), text.alias("texts")))
-        same = (F.size(done) > 0) & (last["role"] == t["role"])
-        return F.when(same, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), longer)).otherwise(F.concat(done, fresh))
-
-    blocks = turns.groupBy("conv").agg(sorted_turns.alias("turns")).select("conv", F.aggregate("turns", empty, merge).alias("blocks"))
+    # where a role begins, and where the next one does: turns between them merge into a block
+    first = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i - 1)["role"] != F.get("turns", i)["role"]))
+    edges = turns.groupBy("conv").agg(sorted_turns.alias("turns")).select("conv", "turns", F.concat(first, F.array(F.size("turns"))).alias("edge"))
+    merged = F.transform(
+        F.slice("edge", F.lit(1), F.size("edge") - 1),
+        lambda at, i: F.struct(
+            F.get("turns", at)["role"].alias("role"), F.transform(F.slice("turns", at + 1, F.get("edge", i + 1) - at), lambda t: escape(t["text"])).alias("texts")
+        ),
+    )
+    blocks = edges.select("conv", merged.alias("blocks"))
 
     def parts(b: Column) -> Column:
         head = F.array(F.struct(F.concat(F.lit(START), escape_role(b["role"]), F.lit("\n")).alias("s"), F.lit(False).alias("loss")))
@@ -100,17 +100,24 @@ def read_turns(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, mask: Column) -> Column:
-    """array<string>: the stretches of the formatted string under the loss mask, unescaped."""
-    found = F.aggregate(
-        mask,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, m: F.struct(
-            (a["at"] + m["n"]).alias("at"),
-            F.when(m["loss"], F.concat(a["out"], F.array(F.substring(formatted, a["at"], m["n"])))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.transform(found, unescape)
+    """array<string>: the stretches of the formatted string under the loss mask, unescaped.
+
+    Lengths are summed up in runs of ``_RUN`` pieces, so that long masks are read in about linear time.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(mask) - 1, F.lit(0)), F.lit(_RUN)), lambda i: F.slice(mask, i + 1, F.lit(_RUN)))
+    none, nones = F.array().cast("array<struct<at:int,n:int>>"), F.array().cast("array<array<struct<at:int,n:int>>>")
+
+    def piece(a: Column, m: Column) -> Column:
+        own = F.array(F.struct(a["at"].alias("at"), m["n"].alias("n")))
+        return F.struct((a["at"] + m["n"]).alias("at"), F.when(m["loss"], F.concat(a["out"], own)).otherwise(a["out"]).alias("out"))
+
+    def run(a: Column, r: Column) -> Column:
+        # a["at"] is renewed by the sum, so that the inner array is made once
+        own = F.aggregate(r, F.struct(a["at"].alias("at"), none.alias("out")), piece, lambda x: x["out"])
+        return F.struct((a["at"] + F.aggregate(r, F.lit(0), lambda n, m: n + m["n"])).alias("at"), F.concat(a["out"], F.array(own)).alias("out"))
+
+    found = F.aggregate(runs, F.struct(F.lit(1).alias("at"), nones.alias("out")), run, lambda a: F.flatten(a["out"]))
+    return F.transform(found, lambda s: unescape(F.substring(formatted, s["at"], s["n"])))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import re
 import zlib
 
@@ -304,6 +305,48 @@ def test_chat(spark):
     assert [tuple(x) for x in got[2].t] == [("", "")] and [tuple(x) for x in got[None].t] == [("r\\n\no\\le", "t\n")]
 
 
+def test_chat_round_trip(spark):
+    """Any roles and texts come back; the formatted string and the mask are those of a plain version."""
+    rng = np.random.default_rng(15)
+    bits = ["<|im_end|>", "<|im_start|>", "<|im_sep|>", "\\", "\n", "\0", "<", "|", "<\\|", "s", "n", "assistant", "é🙂", ""]
+    some = lambda n: "".join(rng.choice(bits, rng.integers(0, n)))
+    rows = [(c, t, str(rng.choice(["assistant", "user", some(5)])), some(8), "x") for c in range(25) for t in range(int(rng.integers(1, 12)))]
+    rows += [(99, t, "assistant" if t % 3 else "r\0\\x", f"t{t}", "y") for t in range(700)] + [(98, 0, "user", "same", "z")] * 2
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, blocks string")
+    got = o7.format_chats(d).select("conv_id", "formatted", "mask", o7.read_turns(F.col("formatted")).alias("t"), o7.masked(F.col("formatted"), F.col("mask")).alias("l")).collect()
+    assert len(got) == 27
+    esc = lambda x: re.sub(r"<(\\*)\|", r"<\\\1|", x)
+    for r in got:
+        own = sorted((x[1], x[2], x[3]) for x in rows if x[0] == r.conv_id)
+        assert [tuple(x) for x in r.t] == [(b, c) for _, b, c in own]
+        assert list(r.l) == [c for _, b, c in own if b == "assistant"]
+        want, last = "", None
+        for _, role, text in own:
+            if role == last:
+                want += "<|im_sep|>" + esc(text)
+            else:
+                want += ("" if last is None else "<|im_end|>\n") + "<|im_start|>" + esc(role.replace("\\", "\\s").replace("\n", "\\n")) + "\n" + esc(text)
+            last = role
+        assert r.formatted == want + "<|im_end|>\n" and sum(m.n for m in r.mask) == len(r.formatted)
+    assert not o7.format_chats(d.limit(0)).collect()
+
+
+def test_bpe_checks_the_file():
+    with open(o8.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert o8.checked(spec) is spec
+    for part, other in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("model", {**spec["model"], "byte_fallback": True})):
+        with pytest.raises(ValueError, match=part):
+            o8.checked({**spec, part: other})
+
+
+def test_bpe_of_odd_rows(spark):
+    d = spark.createDataFrame([(None, "a b", "x"), (1, "same", "x"), (1, "same", "x"), (2, None, "x")], "doc_id long, text string, ids string")
+    got = sorted((str(r.doc_id), len(r.ids), r.decoded) for r in o8.encode(d).collect())
+    assert [x[:2] for x in got] == [("1", 1), ("1", 1), ("2", 0), ("None", 2)] and got[2][2] == ""
+    assert not o8.encode(d.limit(0)).collect()
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
@@ -328,17 +371,40 @@ def test_topk(spark):
     assert {r.query_id for r in got} == set(range(0, 300, 20))
 
 
+def test_topk_of_repeated_queries_and_large_components(spark):
+    rng = np.random.default_rng(14)
+    v = [[float(x) for x in rng.integers(-3, 4, 4)] for _ in range(70)]
+    rows = list(enumerate(v)) + [(20, v[20]), (20, v[21]), (5, v[5])]  # a repeated query, one of equal id, a repeated candidate
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = o9.search(d, F.col("vec_id") % 20 == 0, k=6, block_rows=16).collect()
+    q = [(i, (64 * np.array(x)).astype(int)) for i, x in rows]
+    for i, row, own in ((0, 0, v[0]), (40, 0, v[40]), *((20, r, x) for r, x in enumerate(sorted((v[20], v[21]))))):
+        want = sorted(((-int(w @ (64 * np.array(own)).astype(int)), j) for j, w in q if j != i))[:6]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if (r.query_id, r.query_row) == (i, row)] == want
+    big = [(0, [2.0**40, 1.0]), (1, [2.0**40, -1.0]), (2, [2.0**20, 3.0]), (3, [-(2.0**40), 0.0]), (4, [1e300, 0.0])]
+    got = o9.search(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, o9.MOST), (2, o9.MOST), (4, o9.MOST), (3, o9.LEAST)]
+    small = [(0, [2.0**26, 1.0]), (1, [3.0, 5.0]), (2, [2.0**26, 0.0])]
+    got = o9.search(spark.createDataFrame(small, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, o9.MOST), (1, 2**26 * 3 * 4096 + 5 * 4096)]
+    assert not o9.search(d.limit(0), F.col("vec_id") == 0).collect()
+
+
 def test_shards(spark):
     rng = np.random.default_rng(9)
     texts = ["hot " * 20] * 300 + [" ".join(rng.choice(WORDS, rng.integers(1, 80))) for _ in range(900)] + EDGE + ["pair of copies"] * 2
-    got = o10.assign(docs(spark, texts), shards=6).collect()
+    d = docs(spark, texts)
+    got = o10.assign(d, shards=6).collect()
     assert len(got) == len(texts)
-    size = np.zeros(6)
     for k in range(6):
         own = [r for r in got if r.shard == k]
         assert sorted(r.slot for r in own) == list(range(len(own)))
-        size[k] = sum(r.size for r in own)
-    assert (np.sort(size)[:-1].max() / size.min()) < 1.1  # one text alone exceeds a shard's share
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert sorted(map(str, o10.assign(d.repartition(5), shards=6).collect())) == sorted(map(str, got))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     by = {}
     for r in got:
         t = texts[r.doc_id] or ""
@@ -346,6 +412,18 @@ def test_shards(spark):
         by.setdefault(t, set()).add(r.shard)
     assert len(by["pair of copies"]) == 1
     assert o10.assign(docs(spark, [])).count() == 0
+    odd = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b"), (1, "b"), (1, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.size) for r in o10.assign(odd, shards=2).collect()) == [("1", 8), ("1", 9), ("1", 9), ("None", 9), ("None", 9)]
+
+
+def test_shards_of_a_whole_table_are_balanced(spark):
+    got = o10.query(spark, "/root/testdata/sf0.01").collect()
+    size, rows = np.zeros(24), np.zeros(24)
+    for r in got:
+        size[r.shard] += r.size
+        rows[r.shard] += 1
+    share = size.sum() / 24
+    assert size.max() <= 1.05 * max(share, max(r.size for r in got)) and size.min() >= 0.93 * share and rows.min() >= 0.9 * rows.mean()
 
 
 def test_pipeline(spark, tmp_path):
