@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,5 +50,26 @@ class Stored:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def running(items: Column, start: int, step, kind: str, run: int = 128) -> Column:
+    """The rows (array<kind>) that ``step(at, item)`` gives with a running ``at``: it returns the next ``at`` and an array of rows.
+
+    An array grows by copying, so items are taken in runs whose results are put together at the end: about linear time.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def piece(a: Column, x: Column) -> Column:
+        at, rows = step(a["at"], x)
+        return F.struct(at.cast("int").alias("at"), F.concat(a["out"], rows).alias("out"))
+
+    def extend(a: Column, r: Column) -> Column:
+        return F.concat(a, F.array(F.aggregate(r, F.struct(F.get(a, F.size(a) - 1)["at"].alias("at"), none.alias("out")), piece)))
+
+    def whole(x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(run)), lambda i: F.slice(x, i + 1, F.lit(run)))
+        return F.flatten(F.transform(F.aggregate(runs, F.array(F.struct(F.lit(start).alias("at"), none.alias("out"))), extend), lambda a: a["out"]))
+
+    return F.get(F.transform(F.array(items), whole), F.lit(0))  # items are computed once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import running, table
 
 NAME = "op1_secrets"
 
@@ -69,22 +69,13 @@ def _located(text: Column, pattern: str, group: int | None = None) -> Column:
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(pieces.alias("p"), whole.alias("w"), value.alias("v"))
-    empty = F.array().cast("array<struct<start:int,n:int,value:string>>")
-    return F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda a, x: F.when(
-            x["w"].isNotNull(),
-            F.struct(
-                (a["at"] + F.length(x["p"]) + F.length(x["w"])).alias("at"),
-                F.concat(
-                    a["found"],
-                    F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), F.length(x["w"]).alias("n"), x["v"].alias("value"))),
-                ).alias("found"),
-            ),
-        ).otherwise(a),
-        lambda a: a["found"],
-    )
+    none = F.array().cast("array<struct<start:int,n:int,value:string>>")
+
+    def piece(at: Column, x: Column):
+        start, n = at + F.length(x["p"]), F.coalesce(F.length(x["w"]), F.lit(0))  # the last piece has no match
+        return start + n, F.when(x["w"].isNotNull(), F.array(F.struct(start.alias("start"), n.alias("n"), x["v"].alias("value")))).otherwise(none)
+
+    return running(rows, 0, piece, "struct<start:int,n:int,value:string>")
 
 
 def _spans(found: Column, order: int, kind: str) -> Column:
@@ -108,13 +99,9 @@ def hot_windows(value: Column, cls: EntropyClass) -> Column:
     def place(i: Column) -> Column:
         return F.instr(F.lit(cls.symbols), F.substring(value, i, F.lit(1)))
 
-    def bump(counts: Column, at: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, i: F.when(i == at, c + by).otherwise(c))
-
     def step(a: Column, i: Column) -> Column:
         coming, going = place(i), F.when(i > w, place(i - w)).otherwise(F.lit(-1))
         c_in = F.get(a["counts"], coming)
-        grown = bump(a["counts"], coming, 1)
         c_out = F.when(going >= 0, F.get(a["counts"], going) + F.when(going == coming, 1).otherwise(0))
         total = a["sum"] + _clog(c_in + 1) - _clog(c_in) + F.when(going >= 0, _clog(c_out - 1) - _clog(c_out)).otherwise(F.lit(0.0))
         hot = (i >= w) & (F.log2(F.lit(float(w))) - total / w >= F.lit(bits - 1e-9))
@@ -126,7 +113,7 @@ def hot_windows(value: Column, cls: EntropyClass) -> Column:
             F.array(F.struct(last["start"].alias("start"), i.alias("end"))),
         )
         return F.struct(
-            F.when(going >= 0, bump(grown, going, -1)).otherwise(grown).alias("counts"),
+            F.transform(a["counts"], lambda c, j: c + (j == coming).cast("int") - (j == going).cast("int")).alias("counts"),
             total.alias("sum"),
             F.when(~hot, a["spans"]).when((F.size(a["spans"]) > 0) & (last["end"] >= begin), joined).otherwise(F.concat(a["spans"], fresh)).alias("spans"),
         )
@@ -196,15 +183,15 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with every span (sorted by start; overlaps count once) replaced by ``mask``."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    kind = "struct<at:int,n:int>"
+
+    def piece(at: Column, s: Column):
+        before = F.array(F.struct((at + 1).alias("at"), (s["start"] - at).alias("n")))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, before).otherwise(F.array().cast(f"array<{kind}>"))
+
+    kept = F.transform(running(spans, 0, piece, kind), lambda p: F.concat(F.substring(text, p["at"], p["n"]), F.lit(mask)))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(kept, ""), F.substring(text, last + 1, F.length(text))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

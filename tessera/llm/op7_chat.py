@@ -18,11 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import running, table
 
 NAME = "op7_chat"
 
-_RUN = 128
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
 
@@ -100,24 +99,12 @@ def read_turns(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, mask: Column) -> Column:
-    """array<string>: the stretches of the formatted string under the loss mask, unescaped.
+    """array<string>: the stretches of the formatted string under the loss mask, unescaped."""
 
-    Lengths are summed up in runs of ``_RUN`` pieces, so that long masks are read in about linear time.
-    """
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(mask) - 1, F.lit(0)), F.lit(_RUN)), lambda i: F.slice(mask, i + 1, F.lit(_RUN)))
-    none, nones = F.array().cast("array<struct<at:int,n:int>>"), F.array().cast("array<array<struct<at:int,n:int>>>")
-
-    def piece(a: Column, m: Column) -> Column:
-        own = F.array(F.struct(a["at"].alias("at"), m["n"].alias("n")))
-        return F.struct((a["at"] + m["n"]).alias("at"), F.when(m["loss"], F.concat(a["out"], own)).otherwise(a["out"]).alias("out"))
-
-    def run(a: Column, r: Column) -> Column:
-        # a["at"] is renewed by the sum, so that the inner array is made once
-        own = F.aggregate(r, F.struct(a["at"].alias("at"), none.alias("out")), piece, lambda x: x["out"])
-        return F.struct((a["at"] + F.aggregate(r, F.lit(0), lambda n, m: n + m["n"])).alias("at"), F.concat(a["out"], F.array(own)).alias("out"))
+    def piece(at: Column, m: Column):
+        return at + m["n"], F.when(m["loss"], F.array(F.struct(at.alias("at"), m["n"].alias("n")))).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
 
-    found = F.aggregate(runs, F.struct(F.lit(1).alias("at"), nones.alias("out")), run, lambda a: F.flatten(a["out"]))
-    return F.transform(found, lambda s: unescape(F.substring(formatted, s["at"], s["n"])))
+    return F.transform(running(mask, 1, piece, "struct<at:int,n:int>"), lambda s: unescape(F.substring(formatted, s["at"], s["n"])))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,33 @@ def test_secret_joined_to_a_base_span(spark):
     assert got[3].at == "assign:0:38,hex:6:38"  # covered wholly by base spans
 
 
+def base_of(text):
+    """Base spans by ``re``: kind, start, end by start, then kind as listed."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or "") if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text or "") if len(m[0]) >= 16]
+    return ",".join(f"{o1.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_base_spans_of_a_whole_table(spark):
+    rng = np.random.default_rng(16)
+    bits = ["password", "API_key", "apikey", "Token", "=", ": ", "'", '"', " ", "AKIA", "AKIAQ1W2E3R4T5Y6U7", "0123456789abcdef", "abcdef", "deadbeef", "Zz_9.-+/", "é🙂", "K", "ſecret", "\n"]
+    odd = ["".join(rng.choice(bits, rng.integers(1, 40))) for _ in range(400)]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10_000 + i, t) for i, t in enumerate(odd)] + [(None, odd[0]), (10_000, odd[0]), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text, r.b) for r in o1.scan(d).select("doc_id", "text", o1.joined(F.col("base")).alias("b")).collect())
+    assert got == sorted((str(i), t or "", base_of(t)) for i, t in rows)
+    assert not o1.scan(d.limit(0)).collect()
+
+
+def test_many_secrets_in_one_text(spark):
+    n = 3000
+    text = " ".join(f"{i:016x}" for i in range(n))
+    r = o1.scan(docs(spark, [text])).select("base", o1.redacted(F.col("text"), F.col("spans")).alias("red")).first()
+    assert [(s.start, s.end) for s in r.base] == [(17 * i, 17 * i + 16) for i in range(n)] and r.red == " ".join(["[SECRET]"] * n)
+
+
 def test_entropy_is_recomputed_entropy(spark):
     rng = np.random.default_rng(3)
     cls = o1.CLASSES[1]
