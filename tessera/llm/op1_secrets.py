@@ -61,7 +61,11 @@ ALLOW = (
 def candidates(cls: EntropyClass) -> str:
     """Pattern of the maximal runs of the class's alphabet that fill a window and hold a digit and a letter."""
     a = cls.alphabet
-    return f"(?<![{a}])(?=[{a.replace('0-9', '')}]*[0-9])(?=[0-9+/_-]*[A-Za-z])[{a}]{{{cls.window},}}"
+    letters = "".join(r for r in ("A-Z", "a-z", "a-f", "A-F") if r in a)
+    others = a.replace("0-9", "")
+    for r in ("A-Z", "a-z", "a-f", "A-F"):
+        others = others.replace(r, "")
+    return f"(?<![{a}])(?=[{a.replace('0-9', '')}]*[0-9])(?=[0-9{others}]*[{letters}])[{a}]{{{cls.window},}}"
 
 
 def _located(text: Column, pattern: str, group: int | None = None) -> Column:
