@@ -1,12 +1,13 @@
 """HTML main-text extraction by consensus host paths.
 
 Three steps. (1) Each page's containers are scored: characters of text outside boilerplate and links, times a weight
-of the tag. (2) In Spark, pages vote on generalised tag-class paths (digits dropped) per host: a page gives each
-of its paths the score's share of its best one. (3) Each page is read again and the elements at its host's winning path are
-extracted; a page that has none, or no text there, uses its own best container.
+of the tag. (2) In Spark, pages vote on generalised tag-class paths (digits dropped) per host: a page's best path gets its voice, and each
+of its paths the score's share of the best one. Winning paths of a host, in order of voices, then votes, are those with a 64th of its
+pages' voices, so 64 at most: a host may have several templates. (3) Each page is read again and the elements at the first
+winning path that has text there are extracted; a page without any uses its own best container.
 
-Votes are summed before the shuffle. Winners meet the pages in a join on (host, salt), so that a host with a large part of
-all pages is spread; nothing is broadcast by hand.
+Votes are summed before the shuffle. The winners' size is measured: up to ``broadcast_bytes`` they are sent to all executors and no page
+is shuffled; beyond that they meet the pages in a join on the host, of which adaptive execution splits hosts with a large part of all pages.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import cut, table
 
 NAME = "op4_html"
 
@@ -232,11 +233,12 @@ def best(found: dict[str, float]) -> str | None:
     return min(found, key=lambda p: (-found[p], -p.count(">"), p)) if found else None
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 32) -> DataFrame:
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(id, url, path, text) of every page; text: blocks joined by two line feeds, empty if there are none.
 
     A null html counts as empty. Pages without a host (null or odd url) vote as one host of their own. Repeated rows vote
-    and are extracted each. An empty table gives no rows; columns other than the three named are not read.
+    and are extracted each. Ties go to more votes, then the deeper path, then the last by name. An empty table gives no rows; columns
+    other than the three named are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -244,28 +246,36 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     def vote(batches):
         for pdf in batches:
-            hosts, paths, votes = [], [], []
+            hosts, paths, votes, voices = [], [], [], []
             for h, source in zip(pdf["host"], pdf["html"]):
                 found = read_page(source)[1]
-                top = max(found.values(), default=0)
+                first, top = best(found), max(found.values(), default=0)
                 for p, s in found.items():
                     hosts.append(h)
                     paths.append(p)
                     votes.append(round(1_000_000 * s / top))
-            yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "path": pd.Series(paths, dtype=object), "vote": pd.Series(votes, dtype="int64")})
-
-    votes = src.select("host", "html").mapInPandas(vote, "host string, path string, vote long").groupBy("host", "path").agg(F.sum("vote").alias("votes"))
-    order = F.struct(F.col("votes"), F.size(F.split("path", ">")).alias("depth"), F.col("path"))
-    winners = votes.groupBy("host").agg(F.max(order).alias("w")).select("host", F.col("w.path").alias("path"))
-    winners = winners.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    pages = src.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")).join(winners, ["host", "salt"], "left").select("id", "url", "path", "html")
+                    voices.append(int(p == first))
+            yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "path": pd.Series(paths, dtype=object), "vote": pd.Series(votes, dtype="int64"), "voice": pd.Series(voices, dtype="int64")})
+
+    votes = src.select("host", "html").mapInPandas(vote, "host string, path string, vote long, voice long").groupBy("host", "path").agg(F.sum("vote").alias("votes"), F.sum("voice").alias("voices"))
+    votes = cut(votes.filter("voices > 0"))
+    pages = votes.groupBy("host").agg(F.sum("voices").alias("pages"))
+    order = F.struct("voices", "votes", F.size(F.split("path", ">")).alias("depth"), "path")
+    winners = votes.join(pages, "host").filter("voices * 64 >= pages").groupBy("host").agg(F.transform(F.sort_array(F.collect_list(order), asc=False), lambda w: w["path"]).alias("paths"))
+    winners = cut(winners)
+    size = winners.agg(F.sum(F.octet_length("host") + F.lit(32) + F.aggregate("paths", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p) + 16))).first()[0] or 0
+    met = src.join(F.broadcast(winners) if size <= broadcast_bytes else winners, "host", "left").select("id", "url", "paths", "html")
 
     def read(batches):
         for pdf in batches:
             used, texts = [], []
-            for path, source in zip(pdf["path"], pdf["html"]):
+            for paths, source in zip(pdf["paths"], pdf["html"]):
                 page, found = read_page(source)
-                own = blocks(page, path) if isinstance(path, str) else []
+                path, own = None, []
+                for path in paths if paths is not None else ():
+                    own = blocks(page, path) if path in found else []
+                    if own:
+                        break
                 if not own:
                     path = best(found)
                     own = blocks(page, path)
@@ -273,7 +283,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 texts.append("\n\n".join(own))
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"].astype(object), "path": pd.Series(used, dtype=object), "text": pd.Series(texts, dtype=object)})
 
-    return pages.mapInPandas(read, f"id {kind}, url string, path string, text string").withColumnsRenamed({"id": id_col, "url": url_col})
+    return met.mapInPandas(read, f"id {kind}, url string, path string, text string").withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

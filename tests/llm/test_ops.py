@@ -290,6 +290,45 @@ def test_html_attributes_and_wrappers(spark):
         assert o4.blocks(page, None) == ["Main text"]
 
 
+def test_html_host_paths(spark):
+    """Hosts of one template, of two, of none in common, and of one page; pages that differ from their host's templates."""
+    words = lambda n, w: " ".join([w] * n)
+    rows = []
+    for i in range(30):  # two templates; of every tenth page the longest container is a list of links' texts
+        main = "post" if i % 3 else "essay"
+        more = f"<div class='teasers{i}'><p>{words(90, 'teaser')}</p></div>" if i % 10 == 0 else ""
+        rows.append((i, f"https://two.example/{i}", f"<body><div class='wrap'><div class='{main}'><p>{words(40, 'main')}{i}</p></div>{more}</div></body>"))
+    rows.append((30, "https://two.example/odd", f"<body><div class='wrap'><div class='letter'><p>{words(30, 'own')}</p></div></div>"))
+    rows += [(40 + i, "https://none.example/", f"<body><div class='{x}{x}'><p>{x * 60}</p></div>") for i, x in enumerate("abc")]
+    rows += [(50, "https://one.example/", f"<body><section><p>{words(20, 'alone')}</p></section>"), (51, "https://one.example:80/x", ""), (52, None, f"<p>{words(5, 'free')}"), (52, None, f"<p>{words(5, 'free')}")]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, path string")
+    one = sorted((r.page_id, r.text) for r in o4.extract(d).collect())
+    assert one == sorted((r.page_id, r.text) for r in o4.extract(d.repartition(3), broadcast_bytes=-1).collect())
+    got = dict(one)
+    assert all(got[i] == f"{words(40, 'main')}{i}" for i in range(30))
+    assert got[30] == words(30, "own") and [got[40 + i] for i in range(3)] == [x * 60 for x in "abc"]
+    assert got[50] == words(20, "alone") and got[51] == "" and [t for i, t in one if i == 52] == [words(5, "free")] * 2
+    assert not o4.extract(d.limit(0)).collect()
+
+
+def test_html_of_a_whole_table(spark):
+    """The article of each page of sf0.001, cut out by its tags and plain replacements."""
+    import html
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {r.page_id: r.text for r in o4.query(spark, "/root/testdata/sf0.001").collect()}
+    seen = 0
+    for r in rows:
+        m = re.search(r"<article>(.*?)</article>", r.html or "", re.S)
+        if not m or re.search(r"<(nav|aside|form|script|style|header|footer|div|section|!--)", m[1]):
+            continue
+        seen += 1
+        parts = re.split(r"</?(?:p|h[1-6]|li|ul|ol|table|tr|td|th|blockquote|pre|figure|figcaption)\b[^>]*>", re.sub(r"<br[^>]*>", " ", m[1]))
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts]
+        assert got[r.page_id] == "\n\n".join(x for x in want if x)
+    assert seen >= 10
+
+
 def test_simple8b(spark, tmp_path):
     rng = np.random.default_rng(6)
     for n in (0, 1, 59, 60, 5000, 12345):
