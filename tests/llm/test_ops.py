@@ -350,6 +350,87 @@ def test_simple8b(spark, tmp_path):
     assert [d for c in o5.read_file(str(tmp_path / "f")) for d, _ in c.docs()] == [1, None]
 
 
+def test_simple8b_of_a_whole_table(spark):
+    """Every text of sf0.01 as the library encodes it whole."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(o5.default_path())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    start = 0
+    for r in sorted(o5.query(spark, "/root/testdata/sf0.01").collect()):
+        ids = np.array([*lib.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_words_of_a_batch_are_those_of_the_pattern():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(17)
+    lib = Tokenizer.from_file(o5.default_path())
+    bits = ["'s", "'", "ll", "'re", " ", "  ", "\n", "\t", "a", "Word", "é", "ß", "12", "_", "-", "\0", "t", "'VE", "x" * 20, "×", "文", "Ʌ", "\x1c", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(1500)]
+    enc = o5.Encoder(o5.default_path(), cache_words=300)  # cleared now and then
+    for a in range(0, len(texts), 100):
+        for t, ids in zip(texts[a : a + 100], enc.encode(texts[a : a + 100], 0)):
+            assert ids.tolist() == [*lib.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_simple8b_of_odd_rows(spark, tmp_path):
+    d = spark.createDataFrame([(None, "b"), (3, "a a"), (3, "a"), (1, None)], "doc_id long, text string")
+    o5.write(d, str(tmp_path / "t"))
+    got = sorted(o5.read(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, len(r.ids)) for r in got] == [(None, 2), (1, 1), (3, 2), (3, 3)] and [r.start for r in got] == [0, 2, 3, 5]
+    o5.write(d.limit(0), str(tmp_path / "e"))
+    assert not o5.digests(spark, str(tmp_path / "e")).collect()
+
+
+def test_random_indexing_sums(spark):
+    """Context sums and counts of a small corpus, neighbour by neighbour."""
+    texts = ["a b, c", "b B\nd", None, "", "x", "a b, c"]
+    places, signs = o6.index_vectors()
+    want = np.zeros((o6.BUCKETS, o6.DIMS + 1), dtype=np.int64)
+    for t in texts:
+        tokens = re.findall(r"[^\W_]+|[^\w\s]+|_+|\n", t or "")
+        for line in ([zlib.crc32(x.lower().encode()) % o6.BUCKETS for x in tokens], [zlib.crc32(b"\0" + o6._shape(x).encode()) % o6.BUCKETS for x in tokens]):
+            for i, c in enumerate(line):
+                want[c, o6.DIMS] += 1
+                for j in (i - 2, i - 1, i + 1, i + 2):
+                    if 0 <= j < len(line):
+                        np.add.at(want[c], places[line[j]], signs[line[j]])
+    assert (o6.corpus_vectors(docs(spark, texts).repartition(3)) == want).all()
+    assert not o6.corpus_vectors(docs(spark, [])).any()
+
+
+def test_quality_on_held_out_labels(spark):
+    d = o6.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out and quality is not null").toPandas()
+    p, y = d["score"].to_numpy(), d["quality"].to_numpy().astype(int)
+    rank = d["score"].rank().to_numpy()
+    auc = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    loss = -np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1)).mean()
+    assert len(y) > 50 and auc > 0.85 and loss < 0.3 and ((p >= 0.3) == y).mean() > 0.93
+
+
+def test_temperature_has_the_least_loss():
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(3000, 4))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    aside = np.arange(3000) % 5 == 0
+    net = o6.fit(x, y, aside, epochs=5)
+    loss = lambda t: np.logaddexp(0, np.where(y[aside] == 1, -1, 1) * net.logits(x[aside]) / t).mean()
+    assert loss(net.temperature) <= min(loss(net.temperature * f) for f in (0.8, 1.25)) + 1e-6
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = [(i, "good words here " * 5 if i % 2 else "!!! ### $$$", "x") for i in range(40)] + [(None, "a", "x"), (3, "good words", "x"), (3, "good words", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    model = o6.train(d, labels)
+    got = o6.score(d, model).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 3}) <= 2 and [r.held_out for r in got if r.doc_id is None]
+    assert not o6.score(d.limit(0), model).collect()
+
+
 def test_quality(spark):
     rng = np.random.default_rng(7)
     texts = [" ".join(rng.choice(WORDS, 60)) if i % 2 else "!! ".join(w.upper() for w in rng.choice(WORDS, 60)) for i in range(400)]
@@ -526,3 +607,26 @@ def test_row_keys_are_in_order_of_ids(spark):
     ids = [-(2**63), -5, -1, 0, 3, 10, 2**63 - 1, None]
     got = cp.keyed(spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string"), "k").orderBy("k").collect()
     assert [r.doc_id for r in got] == ids
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Empty tables, null and empty texts, long ones, repeated rows and clashing columns go through each stage."""
+    cp = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, " ".join(WORDS[:12])), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, None, "a", 0), (2, "", "a", 1), (3, "x" * 100_000, "b", 2), (3, "x" * 100_000, "b", 2), (4, " ".join(WORDS * 20), None, 3), (5, "id AKIA" + "Q1" * 8, "c", 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row_key string, n_chars long").select("doc_id", "text", "row_key", "n_chars", F.lit("k").alias("key"), F.lit(True).alias("kept"), F.lit(1).alias("hits"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns and not stage(spark, d.limit(0), str(tmp_path)).collect(), name
+        assert len({r.doc_id for r in out.collect()}) == (4 if name in ("near_duplicates", "decontaminate") else 5), name
+    assert cp.tokens(spark, d, str(tmp_path)).count() == 6
+
+
+def test_quality_stage_drops_what_it_rejects(spark, tmp_path):
+    cp = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(19)
+    rows = [(i, " ".join(rng.choice(WORDS, 60)) if i % 2 else "!!! " * 40, "x") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert {r.doc_id for r in cp.quality(spark, d, str(tmp_path)).collect()} == set(range(1, 300, 2))
