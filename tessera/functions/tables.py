@@ -40,6 +40,40 @@ STREET_DROP = (
     "shop door house h b t de du des la le les l d a au aux en et the of and saint sainte"
 ).split()
 
+# fixed values: other names of places by country; the canonical word is added
+PLACE_ALIAS = {
+    "India": {
+        "calcutta": "kolkata", "kolkatta": "kolkata", "bombay": "mumbai", "bangalore": "bengaluru", "banglore": "bengaluru",
+        "bengalooru": "bengaluru", "madras": "chennai", "gurgaon": "gurugram", "trivandrum": "thiruvananthapuram",
+        "calicut": "kozhikode", "trichy": "tiruchirappalli", "tiruchi": "tiruchirappalli", "baroda": "vadodara",
+        "vizag": "visakhapatnam", "vishakhapatnam": "visakhapatnam", "poona": "pune", "cochin": "kochi", "ernakulam": "kochi",
+        "mysore": "mysuru", "allahabad": "prayagraj", "mangalore": "mangaluru", "belgaum": "belagavi", "gulbarga": "kalaburagi",
+        "hubli": "hubballi", "ahmadabad": "ahmedabad", "nasik": "nashik", "kancheepuram": "kanchipuram",
+        "tiruvallur": "thiruvallur", "rangareddi": "rangareddy", "paraganas": "parganas", "keralam": "kerala",
+        "orissa": "odisha", "secunderabad": "hyderabad", "benaras": "varanasi", "banaras": "varanasi",
+        "pondicherry": "puducherry", "simla": "shimla", "tuticorin": "thoothukudi", "cawnpore": "kanpur",
+        "trichur": "thrissur", "quilon": "kollam", "alleppey": "alappuzha", "cuddapah": "kadapa", "gauhati": "guwahati",
+        "jubbulpore": "jabalpur", "bhubaneshwar": "bhubaneswar",
+    }
+}
+# fixed values: places of several words, one word each
+PLACE_PHRASE = {
+    "India": [
+        (("andhra", "pradesh"), "st_ap_tg"), (("telangana",), "st_ap_tg"), (("telangaan",), "st_ap_tg"), (("aandhrapradesh",), "st_ap_tg"),
+        (("madhya", "pradesh"), "st_mp"), (("madhy", "pradesh"), "st_mp"), (("uttar", "pradesh"), "st_up"), (("himachal", "pradesh"), "st_hp"),
+        (("arunachal", "pradesh"), "st_ar"), (("west", "bengal"), "st_wb"), (("pashchimabangg",), "st_wb"), (("tamil", "nadu"), "st_tn"),
+        (("gautam", "buddha", "nagar"), "noida"), (("ranga", "reddy"), "rangareddy"), (("navi", "mumbai"), "navimumbai"),
+        (("new", "bombay"), "navimumbai"), (("chhatrapati", "sambhaji", "nagar"), "aurangabad"), (("sawai", "madhopur"), "sawaimadhopur"),
+        (("new", "delhi"), "delhi"),
+    ]
+}
+# fixed values: words that stand for nothing else where places are handled, and filler words of addresses
+PLACE_SYN_BLOCK = [
+    "pradesh", "west", "east", "north", "south", "bengal", "nadu", "tamil", "uttar", "madhya", "andhra",
+    "himachal", "arunachal", "w", "e", "n", "s",
+]
+PLACE_ADDR_STOP = ["door", "dor", "doro", "null"]
+
 # fixed values: sounds of the Brahmic blocks by offset
 VOWELS = {5: "a", 6: "aa", 7: "i", 8: "ii", 9: "u", 10: "uu", 11: "ri", 12: "li", 13: "e", 14: "e", 15: "e", 16: "ai", 17: "o", 18: "o", 19: "o", 20: "au", 96: "rri", 97: "lli"}
 CONSONANTS = dict(zip(range(21, 58), "k kh g gh ng ch chh j jh ny t th d dh n t th d dh n n p ph b bh m y r r l l l v sh sh s h".split())) | dict(zip(range(88, 96), "q kh gh z r rh f y".split()))

@@ -1,4 +1,4 @@
-"""Column functions over names and addresses. All run in the JVM but ``transliterated`` and ``folded_exactly``."""
+"""Column functions over names and addresses. All run in the JVM but the Arrow UDFs of ``plain_records``, ``latin_udf`` and ``folded_exactly``."""
 
 from __future__ import annotations
 
@@ -89,10 +89,14 @@ def alias_split(name: Column) -> tuple[Column, Column]:
     return F.when(hit, F.regexp_extract(name, _ALIAS, 3)).otherwise(name), F.when(hit, F.regexp_extract(name, _ALIAS, 1)).otherwise("")
 
 
+def plain_tokens(name: Column) -> Column:
+    """Words of a clean name without record numbers such as '# 12' and '(id 77)'."""
+    clean = F.regexp_replace(base_clean(name), r"#\s*\d+|\(id:?\s*\d+\)", " ")
+    return F.regexp_extract_all(clean, F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def name_tokens(name: Column) -> Column:
-    clean = F.regexp_replace(base_clean(name), r"#\d+|\(id:\s*\w+\)", " ")
-    found = F.regexp_extract_all(clean, F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_distinct(F.transform(found, leet))
+    return F.array_distinct(F.transform(plain_tokens(name), leet))
 
 
 def digits(address: Column) -> Column:
@@ -157,15 +161,9 @@ def translit(text: str) -> str:
     return "".join(out)
 
 
-def transliterated(df: DataFrame, col: str) -> DataFrame:
-    """``df`` with Indic text in ``col`` in Latin letters; rows without any never leave the JVM."""
-
-    @F.pandas_udf(StringType())
-    def latin(s: pd.Series) -> pd.Series:
-        return s.map(translit)
-
-    indic = F.coalesce(F.col(col).rlike("[ऀ-ൿ]"), F.lit(False))
-    return df.filter(~indic).unionByName(df.filter(indic).withColumn(col, latin(F.col(col))))
+@F.pandas_udf(StringType())
+def latin_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else translit(x))
 
 
 def segment(handle: str, logp: dict[str, float], longest: int = 20) -> list[str]:
@@ -181,4 +179,68 @@ def segment(handle: str, logp: dict[str, float], longest: int = 20) -> list[str]
     return out[::-1]
 
 
-WEB = re.compile(r"(?i)(^@|www\.|\.(com|in|net|org|co|fr|biz|info)\b)")
+INDIC = "[\u0900-\u0d7f]"
+WEB = r"(?i)(^@|www\.|\.(com|in|net|org|co|fr|biz|info)\b)"
+_WORD = re.compile(r"[^\s.,()\[\]\-/]+")  # a word of a name in any script
+_NO_WEB = re.compile(r"(?i)^@|www\.|\.(com|in|net|org|co|fr|biz|info)\b.*$|#\s*\d+")
+
+
+def latin_name(name: str, lexicon: dict[str, str]) -> str:
+    """Indic words by the lexicon, else by sound; other words as they are."""
+    return " ".join(lexicon.get(w) or translit(w) if re.search(INDIC, w) else w for w in _WORD.findall(name))
+
+
+def web_words(name: str, logp: dict[str, float]) -> str:
+    """A web handle's words: what is around the host's name is taken off, runs of eight letters and more are segmented."""
+    runs = re.findall("[a-z]+", _NO_WEB.sub(" ", name).lower())
+    return " ".join(w for r in runs for w in (segment(r, logp) if len(r) >= 8 and logp else [r]))
+
+
+@functools.cache
+def _odd_class() -> str:
+    """A character class of what ``fold`` does not take apart as NFKD does: decompositions into several letters, and signs beyond its table."""
+    known = set(_fold_pairs()[0])
+    odd = [cp for cp in range(0x80, 0x10000) if not 0xD800 <= cp < 0xE000 and chr(cp) not in known]
+    odd = [cp for cp in odd if (d := "".join(x for x in unicodedata.normalize("NFKD", chr(cp)) if unicodedata.category(x) != "Mn")) != chr(cp) and len(d) and not 0xAC00 <= cp < 0xD7A4]
+    runs: list[list[int]] = []
+    for cp in odd:
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def needs_python(name: Column, address: Column) -> Column:
+    """Whether a record has Indic letters, a web handle or compatibility forms of several letters."""
+    either = F.concat_ws("\n", name, address)
+    return F.coalesce(either.rlike(INDIC) | name.rlike(WEB) | either.rlike(_odd_class()), F.lit(False))
+
+
+def plain_records(df: DataFrame, lexicon: dict[str, str], logp: dict[str, dict[str, float]], name: str = "business_name", address: str = "business_address") -> DataFrame:
+    """``df`` with names and addresses that the JVM expressions handle; rows that are plain already never leave the JVM.
+
+    lexicon: Indic word to Latin word; logp: by country the log-probabilities of its words. Both are sent to the executors.
+    """
+    sent = df.sparkSession.sparkContext.broadcast((lexicon, logp))
+
+    @F.pandas_udf(StringType())
+    def names(n: pd.Series, country: pd.Series) -> pd.Series:
+        words, by = sent.value
+        out = []
+        for x, c in zip(n, country):
+            x = x or ""
+            if re.search(INDIC, x):
+                x = latin_name(x, words)
+            if re.search(WEB, x):
+                x = web_words(x, by.get(c, {}))
+            out.append(unicodedata.normalize("NFKD", x))
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf(StringType())
+    def addresses(a: pd.Series) -> pd.Series:
+        return a.map(lambda x: None if x is None else unicodedata.normalize("NFKD", translit(x) if re.search(INDIC, x) else x))
+
+    odd = needs_python(F.col(name), F.col(address))
+    other = df.filter(odd).withColumns({name: names(F.col(name), F.col("country")), address: addresses(F.col(address))})
+    return df.filter(~odd).unionByName(other)

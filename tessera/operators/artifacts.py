@@ -61,14 +61,23 @@ def sibling_lexicon(records: DataFrame, lexicon: DataFrame, min_votes: int = 2,
     return votes.filter((F.col("k") == 1) & (F.col("n") >= min_votes) & (F.col("share") >= min_share)).drop("k")
 
 
-def oov_map(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(indic, latin, how): transliteration, then the most frequent word of the vocabulary with its skeleton, else itself."""
+def oov_map(words: DataFrame, vocab: DataFrame, least: float = 70.0, top: int = 200_000) -> DataFrame:
+    """(indic, latin, how): transliteration, then the most frequent word of the vocabulary with its skeleton, else a like one, else itself."""
     from ..functions import text as X
 
-    t = X.transliterated(words.select(F.col("indic"), F.col("indic").alias("latin")), "latin").withColumn("sk", X.skeleton(F.col("latin")))
+    t = words.select("indic", X.latin_udf("indic").alias("latin")).withColumn("sk", X.skeleton(F.col("latin")))
     v = vocab.groupBy("token").agg(F.sum("n").alias("n")).withColumn("sk", X.skeleton(F.col("token")))
     best = v.groupBy("sk").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
-    return t.join(best, "sk", "left").select("indic", F.coalesce("token", "latin").alias("latin"), F.when(F.col("token").isNotNull(), "skeleton").otherwise("translit").alias("how"))
+    first = t.join(best, "sk", "left")
+    # words that no skeleton finds: the likest word of equal first letter among the most frequent ones, lengths alike
+    rest = first.filter("token is null").select("indic", "latin")
+    often = v.orderBy(F.col("n").desc(), "token").limit(top).select(F.col("token").alias("near"), F.col("n"))
+    ratio = F.round(F.lit(100.0) * (1 - F.levenshtein("latin", "near") / F.greatest(F.length("latin"), F.length("near"), F.lit(1))), 6)
+    by = [F.substring("latin", 1, 1) == F.substring("near", 1, 1), F.abs(F.length("latin") - F.length("near")) <= 0.3 * F.greatest(F.length("latin"), F.length("near"))]
+    like = rest.join(often, by).withColumn("score", ratio).filter(F.col("score") >= least)
+    like = like.groupBy("indic").agg(F.max_by("near", F.struct("score", "n", "near")).alias("near"))
+    how = F.when(F.col("token").isNotNull(), "skeleton").when(F.col("near").isNotNull(), "fuzzy").otherwise("translit")
+    return first.join(like, "indic", "left").select("indic", F.coalesce("token", "near", "latin").alias("latin"), how.alias("how"))
 
 
 def vocabulary(records: DataFrame, min_n: int = 2) -> DataFrame:
@@ -87,3 +96,30 @@ def pseudo_pairs(s1: DataFrame, r: DataFrame, min_shared: int = 3) -> DataFrame:
     key = lambda d, n: d.filter((F.size("ad") > 0) & (F.size("core") > 0)).select("country", F.get("ad", F.lit(0)).alias("n0"), F.array_join(F.array_sort("core"), " ").alias("c"), F.col("entity_id").alias(n), F.col("aw").alias(f"aw_{n}"), F.array_sort(F.array_distinct("ad")).alias(f"ad_{n}"))
     d = key(s1, "s1").join(key(r, "r"), ["country", "n0", "c"])
     return d.filter((F.col("ad_s1") == F.col("ad_r")) & (F.size(F.array_intersect("aw_s1", "aw_r")) >= min_shared)).select("s1", "r")
+
+
+def country_synonyms(pairs: DataFrame, min_n: int = 50) -> DataFrame:
+    """(country, token, equiv, n_ab): equivalences of label-free pairs (country, a, b), all countries in one plan.
+
+    Words of two letters, and stop words of addresses, stand for nothing.
+    """
+    from ..functions import tables as T
+
+    mark = lambda c: F.transform(c, lambda t: F.concat("country", F.lit("\u0001"), t))
+    e = equivalences(pairs.select(mark("a").alias("a"), mark("b").alias("b")), min_n=min_n)
+    part = lambda c, i: F.split(c, "\u0001").getItem(i)
+    e = e.select(part("token", 0).alias("country"), part("token", 1).alias("token"), part("equiv", 1).alias("equiv"), "n_ab")
+    return e.filter((F.length("token") > 2) & (F.length("equiv") > 2) & ~F.col("token").isin(T.ADDR_STOP) & ~F.col("equiv").isin(T.ADDR_STOP))
+
+
+def hidden_words(lexicon: DataFrame, learn, share: int = 30) -> DataFrame:
+    """(n_hidden, coverage, accuracy): hides a fixed share of a lexicon (by md5) and asks ``learn(shown, hidden words)`` for them."""
+    bucket = F.conv(F.substring(F.md5("indic"), 1, 8), 16, 10).cast("long") % 100
+    shown, hidden = lexicon.filter(bucket >= share), lexicon.filter(bucket < share)
+    got = learn(shown, hidden.select("indic")).select("indic", F.col("latin").alias("said"))
+    d = hidden.select("indic", "latin").join(got, "indic", "left")
+    return d.agg(
+        F.count("*").alias("n_hidden"),
+        F.round(F.avg(F.col("said").isNotNull().cast("double")), 6).alias("coverage"),
+        F.round(F.avg(F.when(F.col("said").isNotNull(), (F.col("said") == F.col("latin")).cast("double"))), 6).alias("accuracy"),
+    )

@@ -56,7 +56,7 @@ def arms(query: bool = False) -> dict[int, Column]:
     joined = F.concat(F.lit("^"), F.array_join(F.slice(core, 1, 2), ""), F.lit("$"))
     grams = F.when(F.length(joined) >= 5, F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 2, F.lit(1))), lambda i: F.concat(F.lit("t:"), F.substring(joined, i, F.lit(3))))).otherwise(none)
     bare = _long(F.concat(_tag("z:", core), _tag("zk:", sk)))
-    key = F.array_join(F.array_sort(core), "")
+    key = F.array_join(F.array_sort(core), " ")
     by_key = F.when(
         F.length(key) >= 3,
         F.concat(F.transform(F.slice(F.array_distinct(ad), 1, 4), lambda x: F.concat(F.lit("K#:"), key, F.lit("|"), x)), F.transform(window(aw, 8), lambda x: F.concat(F.lit("Kw:"), key, F.lit("|"), x))),

@@ -38,9 +38,9 @@ def overlap(x: str) -> Column:
 def house_relation(a: Column, b: Column) -> Column:
     """0 equal, 1 one is cut from the other, 2 at most 25 apart, 3 one edit, 4 other, 5 missing."""
     longer = F.abs(F.length(a) - F.length(b)) == 1
-    cut = longer & (F.greatest(F.length(a), F.length(b)) >= 3) & (a.startswith(b) | a.endswith(b) | b.startswith(a) | b.endswith(a))
+    cut = longer & (a.startswith(b) | a.endswith(b) | b.startswith(a) | b.endswith(a))
     gap = F.abs(F.expr("1") * (a.try_cast("decimal(38,0)") - b.try_cast("decimal(38,0)")))
-    return F.when(a.isNull() | b.isNull(), 5).when(a == b, 0).when(cut, 1).when(gap <= 25, 2).when(F.levenshtein(a, b) == 1, 3).otherwise(4)
+    return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 5).when(a == b, 0).when(cut, 1).when(gap <= 25, 2).when(F.levenshtein(a, b) == 1, 3).otherwise(4)
 
 
 def share_code(x: str) -> Column:

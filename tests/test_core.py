@@ -34,9 +34,35 @@ def test_text_golden(spark):
     assert X.segment("monamanufacturing", logp) == ["mona", "manufacturing"]
 
 
-def test_transliterated_keeps_rows(spark):
-    d = spark.createDataFrame([("राम",), ("abc",), (None,)], "name string")
-    assert sorted(str(r.name) for r in X.transliterated(d, "name").collect()) == ["None", "abc", "raam"]
+def test_plain_records(spark):
+    import math
+
+    logp = {"US": {w: math.log(0.01) for w in ("mona", "manufacturing", "tools")}}
+    rows = [
+        ("S2-1", "राम स्टोर", "12 मार्ग", "India"), ("S2-2", "www.monamanufacturing.com # 7", "1 Oak", "US"), ("S2-3", "ﬁne ½ Œuvre", "ℌill 5", "US"),
+        ("S2-4", "Acme # 12 (id 77) Tools", None, "US"), ("S2-5", None, "x", "US"), ("S2-6", "@monatools", "x", "France"), ("S2-7", "Old LLC fka New Co", "x", "US"), ("S2-8", "भारत tools", "x", "India"),
+    ]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "entity_id string, business_name string, business_address string, country string, odd int")
+    got = {r.entity_id: r for r in normalize.normalise(d, lexicon={"भारत": "bharat"}, logp=logp).collect()}
+    assert len(got) == len(rows)
+    assert got["S2-1"].nw == ["raam", "stor"] and got["S2-1"].ad == ["12"] and got["S2-1"].aw == ["maarg"]
+    assert got["S2-2"].nw == ["mona", "manufacturing"] and got["S2-6"].nw == ["monatools"]
+    assert got["S2-3"].nw == ["fine", "1", "2", "uvre"] and got["S2-3"].aw == ["hill"]
+    assert got["S2-4"].nw == ["acme", "tools"] and got["S2-5"].nw == []
+    assert got["S2-7"].nw == ["new", "co"] and got["S2-7"].alias == ["old", "llc"]
+    assert got["S2-8"].nw == ["bharat", "tools"]
+
+
+def test_synonyms_and_places(spark):
+    rows = [("S2-1", "a", "Door 5 New Bombay Road, Calcutta", "India"), ("S2-2", "a", "Main Street, Ohio", "US"), ("S2-3", "a", "Calcutta", "US")]
+    d = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
+    got = {r.entity_id: r.aw for r in normalize.normalise(d, synonyms={"main": ["high"], "new": ["nova"]}, country_synonyms={"US": {"ohio": ["oh"]}, "India": {"road": ["marg"]}}, places=True).collect()}
+    assert got["S2-1"] == ["new", "bombay", "road", "calcutta", "mumbai", "kolkata", "navimumbai", "nova", "marg"]
+    assert got["S2-2"] == ["main", "street", "ohio", "high", "oh"] and got["S2-3"] == ["calcutta"]
+    vocab = spark.createDataFrame([("US", "ab", 3), ("US", "c", 1), ("France", "de", 1)], "country string, token string, n long")
+    assert normalize.word_logp(vocab) == {"US": {"ab": pytest.approx(-0.2876820724517809)}, "France": {"de": 0.0}}
+    with pytest.raises(ValueError):
+        normalize.word_logp(vocab, most=2)
 
 
 def test_string_similarities():
@@ -87,7 +113,7 @@ def test_relations(spark):
     rel = lambda a, b: one(spark, blocking.number_relation(arr(*a), arr(*b)))
     assert [rel(a, b) for a, b in ((["5"], []), (["5"], ["5"]), (["5", "6"], ["6"]), (["5", "6"], ["6", "7"]), (["5658"], ["658"]), (["5"], ["6"]))] == ["missing", "equal", "subset", "overlap", "trunc", "disjoint"]
     house = lambda a, b: one(spark, features.house_relation(F.lit(a).cast("string"), F.lit(b).cast("string")))
-    assert [house(*x) for x in (("7", "7"), ("5658", "658"), ("100", "110"), ("1500", "1900"), ("1", "900"), (None, "1"))] == [0, 1, 2, 3, 4, 5]
+    assert [house(*x) for x in (("7", "7"), ("5658", "658"), ("100", "110"), ("1500", "1900"), ("1", "900"), (None, "1"), ("5", "58"), ("", "1"))] == [0, 1, 2, 3, 4, 5, 1, 5]
 
 
 def test_cutoff_rules(spark):
