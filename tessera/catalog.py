@@ -99,8 +99,9 @@ def _norm(src: str, name: str) -> str:
 {name}_1 as (select *, {_clean("main")} as cn, {_clean("former")} as cf, {_digits(_clean("business_address"))} as ca from {name}_0),
 {name}_2 as (select *, list_transform(regexp_extract_all(regexp_replace(cn, '{_IDS}', ' ', 'g'), '[a-z0-9]+'), lambda x: {_leet("x")}) as nw0, regexp_extract_all(regexp_replace(cf, '{_IDS}', ' ', 'g'), '[a-z0-9]+') as al,
    list_filter(list_transform(regexp_extract_all(ca, '[a-z]+'), lambda x: {_street("x")}), lambda x: length(x) >= 2 and x not in {_in(T.ADDR_STOP)}) as aw0,
-   list_filter(list_transform(regexp_extract_all(ca, '\d+'), lambda x: ltrim(x, '0')), lambda x: x <> '') as ad from {name}_1),
-{name}_3 as (select *, {_once("nw0")} as nw, {_once("aw0")} as aw, trim(ca) = '' as noaddr from {name}_2),
+   list_filter(list_transform(regexp_extract_all(ca, '\d+'), lambda x: ltrim(x, '0')), lambda x: x <> '') as ad,
+   list_transform(regexp_extract_all(ca, '\b[a-z]{{1,3}}[-/ ]?\d+[a-z]?\b'), lambda x: regexp_replace(regexp_replace(x, '[-/ ]', '', 'g'), '^([a-z]+)0+', '\1', 'g')) as au0 from {name}_1),
+{name}_3 as (select *, {_once("nw0")} as nw, {_once("aw0")} as aw, {_once(f"list_filter(au0, lambda x: regexp_extract(x, '^[a-z]+') not in {_in(T.UNIT_EXCLUDE)})")} as au, trim(ca) = '' as noaddr from {name}_2),
 {name}_4 as (select *, list_filter(nw, lambda x: x not in {_GONE}) as core, al as alias, list_filter(nw, lambda x: x in {_in(T.LEGAL)}) as legal from {name}_3),
 {name}_5 as (select *, list_filter(list_transform(core, lambda x: {_skel("x")}), lambda x: length(x) >= 2) as sk0 from {name}_4),
 {name} as (select *, {_once("sk0")} as sk from {name}_5)"""
@@ -204,7 +205,7 @@ def _longs(a: str) -> str:
 
 _KEY = "array_to_string(list_sort(core), ' ')"
 _GRAM = "('^' || array_to_string(core[1:2], '') || '$')"
-_PLAIN0 = _longs(_cat(_tag("n:", "core"), _tag("k:", "sk"), _tag("a:", "aw"), _tag("#:", "ad")))
+_PLAIN0 = _longs(_cat(_tag("n:", "core"), _tag("k:", "sk"), _tag("a:", "aw"), _tag("#:", "ad"), _tag("u:", "au")))
 
 
 def _arms(q: bool) -> dict[int, str]:
@@ -230,38 +231,34 @@ def _tok(src: str, q: bool, only=None) -> str:
     return " union all ".join(f"select country, entity_id as id, {k} as arm, unnest(list_distinct({v})) as t from {src}" for k, v in _arms(q).items() if only is None or k in only)
 
 
-def _plain_units(d: DataFrame) -> DataFrame:
-    return d.withColumn("au", F.array().cast("array<string>"))
-
-
 for _k in (0, 3, 4, 5, 6, 7, 8):
 
     def _arm(spark, sf, k=_k):
-        return blocking.tokens(_plain_units(_nrec(spark, sf)), only=[k]).select("id", "t")
+        return blocking.tokens(_nrec(spark, sf), only=[k]).select("id", "t")
 
     query(f"block_arm{_k}", f"{_RECS} select id, t from ({_tok('n', False, [_k])})")(_arm)
 
 
 @query("block_query_tokens", f"with {_norm(FX.S1, 'n')} select id, arm, t from ({_tok('n', True, [0, 7])})")
 def _(spark, sf):
-    return blocking.tokens(_plain_units(_nq(spark, sf)), query=True, only=[0, 7]).select("id", "arm", "t")
+    return blocking.tokens(_nq(spark, sf), query=True, only=[0, 7]).select("id", "arm", "t")
 
 
-_USED = [0, 3, 4, 5, 8]
+_CAP = " ".join(f"when {k} then {v}" for k, v in blocking.CAPS.items())
 _INDEX = f"""{_BOTH},
-ix as ({_tok("n", False, _USED)}), qx as ({_tok("q", True, _USED)}),
+ix as ({_tok("n", False)}), qx as ({_tok("q", True)}),
 cnt as (select country, count(*) as n_records from n group by country),
-dfc as (select country, arm, t, count(*) as df from ix group by all having count(*) <= case when arm = 4 then 200 else 400 end),
+dfc as (select country, arm, t, count(*) as df from ix group by all having count(*) <= case when arm = 4 then {blocking.KEY_CAP} else {blocking.DF_CAP} end),
 wt as (select dfc.*, cast(round_even((ln(n_records) - ln(df)) * 1024, 0) as bigint) as idf from dfc join cnt using (country)),
 sc as (select qx.id as s1, ix.id as r, arm, sum(idf)::bigint as sc from qx join wt using (country, arm, t) join ix using (country, arm, t) group by all),
 rk as (select *, row_number() over (partition by s1, arm order by sc desc, r) as rk from sc),
-kept as (select * from rk where rk <= case arm when 0 then 100 when 5 then 40 when 8 then 10 else 30 end),
-pool as (select s1, r, coalesce(max(sc) filter (arm = 0), 0)::bigint as sc, min(rk) filter (arm = 0) as prk, min(rk) filter (arm <> 0) as xrk, bool_or(arm = 0) as a0, bool_or(arm = 5) as a5 from kept group by all)"""
+kept as (select * from rk where rk <= case arm {_CAP} end),
+pool as (select s1, r, coalesce(max(sc) filter (arm = 0), 0)::bigint as sc, min(rk) filter (arm = 0) as prk, min(rk) filter (arm <> 0) as xrk, bool_or(arm = 0) as a0, bool_or(arm = 4) as a4, bool_or(arm = 5) as a5 from kept group by all)"""
 
 
 def _parts(spark, sf):
-    """Index and queries of all arms, with units and the default caps; the SQL above holds five arms, no units and df <= 400."""
-    r, q = _nrec(spark, sf).persist(), _nq(spark, sf).persist()  # normalised once
+    """Index and queries of all arms, with units and the default caps."""
+    r, q = _nrec(spark, sf), _nq(spark, sf)
     ix, qx = blocking.tokens(r), blocking.tokens(q, True)
     return r, q, ix, qx, blocking.idf(ix, r)
 
@@ -282,7 +279,7 @@ def _(spark, sf):
     return blocking.retrieve(qx, ix, w).withColumn("rk", F.col("rk").cast("long"))
 
 
-@query("block_pool", f"{_INDEX} select * from pool")
+@query("block_pool", f"{_INDEX} select s1, r, sc, prk, xrk, a0, a5 from pool")
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return _pool(spark, sf).select("s1", "r", "sc", F.col("prk").cast("long").alias("prk"), F.col("xrk").cast("long").alias("xrk"), "a0", "a5")
 

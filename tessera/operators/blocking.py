@@ -152,17 +152,36 @@ def reverse_margin(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rev_margin", F.coalesce(F.try_divide(F.col("sc") - best, best), F.lit(0.0)))
 
 
-def prune(pairs: DataFrame, alpha: float = 0.0, groups: int = 99, beta: float | None = None, kmax: int = 999) -> DataFrame:
-    """Group score ratio, group rank, reverse margin and length limits; ``gid`` may be null (its own group)."""
-    g = F.coalesce("gid", F.concat(F.lit("r:"), F.col("r")))
-    df = pairs.withColumn("g", g)
-    df = df.withColumn("gs", F.max("sc").over(W.Window.partitionBy("s1", "g"))).withColumn("top", F.max("sc").over(W.Window.partitionBy("s1")))
+def grouped(pairs: DataFrame) -> DataFrame:
+    """Adds (g, gs, top, grk, odd): a pair's group, its best score, the query's best, the group's rank, and whether nothing speaks for the group.
+
+    A null ``gid`` is a group of its own. Without ``rel`` and ``a4`` no group is odd.
+    """
+    df = pairs.withColumn("g", F.coalesce("gid", F.concat(F.lit("r:"), F.col("r"))))
+    own = W.Window.partitionBy("s1", "g")
+    df = df.withColumn("gs", F.max("sc").over(own)).withColumn("top", F.max("sc").over(W.Window.partitionBy("s1")))
     df = df.withColumn("grk", F.dense_rank().over(W.Window.partitionBy("s1").orderBy(F.col("gs").desc(), "g")))
-    df = df.filter((F.col("gs") >= F.col("top") * F.lit(alpha)) & (F.col("grk") <= groups))
-    if beta is not None:
-        df = df.filter(F.col("rev_margin") >= -beta)
+    odd = F.lit(False)
+    if "rel" in pairs.columns and "a4" in pairs.columns:
+        odd = (F.min((F.col("rel") == "disjoint").cast("int")).over(own) == 1) & (F.max(F.col("a4").cast("int")).over(own) == 0)
+    return df.withColumn("odd", odd)
+
+
+def group_rule(alpha: float = 0.0, groups: int = 99, beta: float | None = None, gate: bool = False) -> Column:
+    """Over ``grouped`` pairs: group score ratio and rank, the gate against odd groups, the reverse margin."""
+    keep = (F.col("gs") >= F.col("top") * F.lit(alpha)) & (F.col("grk") <= groups)
+    if gate:
+        keep = keep & ~F.col("odd")
+    return keep if beta is None else keep & (F.coalesce("rev_margin", F.lit(0.0)) >= -beta)
+
+
+def prune(pairs: DataFrame, alpha: float = 0.0, groups: int = 99, beta: float | None = None, kmax: int = 999, gate: bool = False) -> DataFrame:
+    """Pairs that ``group_rule`` keeps, the best ``kmax`` of a query.
+
+    ``gate`` drops groups whose number relations (``rel``) are all disjoint and that no key (``a4``) has found.
+    """
     rank = F.row_number().over(W.Window.partitionBy("s1").orderBy(F.col("sc").desc(), "r"))
-    return df.withColumn("k", rank).filter(F.col("k") <= kmax).drop("g", "gs", "top", "grk", "k")
+    return grouped(pairs).filter(group_rule(alpha, groups, beta, gate)).withColumn("k", rank).filter(F.col("k") <= kmax).drop("g", "gs", "top", "grk", "k", "odd")
 
 
 def cosine_topk(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:

@@ -91,8 +91,32 @@ def context_features(d: DataFrame) -> DataFrame:
 
 
 def group_features(d: DataFrame) -> DataFrame:
-    own = W.Window.partitionBy("s1", "gid")
-    return d.select("*", F.count("*").over(own).alias("grp_size"), F.sum((F.col("house_rel") == 0).cast("int")).over(own).alias("grp_house_eq"))
+    """Size, equal house numbers and mean name score of a query's signature groups (a null ``gid`` is a group of its own)."""
+    own = W.Window.partitionBy("s1", F.coalesce("gid", F.concat(F.lit("r:"), F.col("r"))))
+    return d.select(
+        "*", F.count("*").over(own).alias("grp_size"), F.sum((F.col("house_rel") == 0).cast("int")).over(own).alias("grp_house_eq"),
+        F.round(F.avg("nm_tset").over(own), 6).alias("grp_nm_tset_mean"),
+    )
+
+
+#: columns that name a pair or explain it, and so are no inputs of a model
+NO_FEATURES = {"s1", "r", "y", "country", "gid", "rel", "sig", "p", "q", "fold"}
+
+
+def feature_columns(d: DataFrame) -> list[str]:
+    """Names of the numeric and boolean columns that are inputs of the models, in order."""
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+    return [c for c, kind in d.dtypes if c not in NO_FEATURES and (kind in kinds or kind.startswith("decimal"))]
+
+
+def passed_through(d: DataFrame, pool: DataFrame) -> DataFrame:
+    """``d`` with the pool's own columns (score, ranks, arms, expansion, margins); those of the embedding arm are null without it."""
+    for c, kind in (("erk", "int"), ("esim", "double")):
+        if c not in pool.columns:
+            pool = pool.withColumn(c, F.lit(None).cast(kind))
+    arms = [c for c in pool.columns if c[0] == "a" and c[1:].isdigit()]
+    keep = [c for c in ("sc", "prk", "xrk", *arms, "exp", "rev_margin", "erk", "esim") if c in pool.columns and c not in d.columns]
+    return d.join(pool.select("s1", "r", *keep), ["s1", "r"], "left")
 
 
 def claim_features(d: DataFrame, share: float = 0.95) -> DataFrame:

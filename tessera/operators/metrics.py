@@ -55,6 +55,75 @@ def attribution(pred: DataFrame, pairs: DataFrame, truth: DataFrame, other: Data
 
 
 def pareto(points: DataFrame) -> DataFrame:
-    """Points (cands, complete) that no point with fewer candidates reaches."""
+    """Points (cands, complete) that no point with fewer candidates reaches. For a few points: the window is one partition."""
     before = W.Window.orderBy("cands", F.col("complete").desc()).rowsBetween(W.Window.unboundedPreceding, -1)
     return points.withColumn("m", F.max("complete").over(before)).filter(F.col("m").isNull() | (F.col("complete") > F.col("m"))).drop("m")
+
+
+def recall_slices(pairs: DataFrame, truth: DataFrame, queries: DataFrame, records: DataFrame) -> DataFrame:
+    """(slice, n, recall): share of true pairs in the pool, of all, by the query's country, of records without an address and with Indic names."""
+    hit = truth.select("s1", "r").join(pairs.select("s1", "r").distinct().withColumn("hit", F.lit(1.0)), ["s1", "r"], "left").fillna(0.0, ["hit"])
+    q = queries.select(F.col("entity_id").alias("s1"), F.concat(F.lit("country:"), F.col("country")).alias("c"))
+    r = records.select(F.col("entity_id").alias("r"), F.when(F.col("noaddr"), F.lit("noaddr")).alias("n"), F.when(F.col("indic"), F.lit("indic")).alias("i"))
+    each = hit.join(q, "s1", "left").join(r, "r", "left").select("hit", F.explode(F.array_compact(F.array(F.lit("all"), F.col("c"), F.col("n"), F.col("i")))).alias("slice"))
+    return each.groupBy("slice").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("recall"))
+
+
+def orphan_f(pred: DataFrame, truth: DataFrame, queries: DataFrame, weight: float = 2.0) -> DataFrame:
+    """(f05) where a wrong pair with a record that no query owns counts ``weight`` times."""
+    owned = truth.select("r").distinct().withColumn("owned", F.lit(1))
+    d = pred.select("s1", "r").distinct().join(truth.select("s1", "r", F.lit(1).alias("hit")), ["s1", "r"], "left").join(owned, "r", "left")
+    d = d.groupBy("s1").agg(F.count("hit").alias("tp"), F.sum(F.when(F.col("owned").isNull(), F.lit(weight)).otherwise(F.lit(1.0))).alias("np"))
+    nt = truth.groupBy("s1").agg(F.count("*").alias("nt"))
+    full = queries.select("s1").join(d, "s1", "left").join(nt, "s1", "left").fillna(0)
+    return full.agg(F.round(F.avg(F.round(f_beta(F.col("tp"), F.col("np"), F.col("nt")), 9)), 6).alias("f05"))
+
+
+def transfer_rate(pred: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """(n, hit, other): of label-free pairs the share that is predicted, and the share whose record goes to another query."""
+    d = pseudo.select("s1", "r").distinct().join(pred.select("r", F.col("s1").alias("to")).distinct(), "r", "left")
+    d = d.groupBy("s1", "r").agg(F.max((F.col("to") == F.col("s1")).cast("int")).alias("own"), F.count("to").alias("n_to"))
+    own = F.coalesce("own", F.lit(0))
+    return d.agg(F.count("*").alias("n"), F.round(F.avg(own.cast("double")), 6).alias("hit"), F.round(F.avg(((own == 0) & (F.col("n_to") > 0)).cast("double")), 6).alias("other"))
+
+
+def profile(records: DataFrame, patterns: dict[str, str], columns=("business_name", "business_address")) -> DataFrame:
+    """(field, n, n_unique, missing, and a share per pattern) of text columns by country, one pass for all of them."""
+    parts = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("x")) for c in columns)))
+    d = records.select("country", parts.alias("p")).select("country", "p.*")
+    none = F.coalesce(F.trim("x") == "", F.lit(True))
+    rates = [F.round(F.avg(F.coalesce(F.col("x").rlike(p), F.lit(False)).cast("double")), 6).alias(name) for name, p in patterns.items()]
+    return d.groupBy("country", "field").agg(F.count("*").alias("n"), F.count_distinct("x").alias("n_unique"), F.round(F.avg(none.cast("double")), 6).alias("missing"), F.round(F.median(F.length("x")), 6).alias("median_length"), *rates)
+
+
+def contingency(pairs: DataFrame, rows: str, cols: str, values: list[str]) -> DataFrame:
+    """Counts of ``rows`` by the listed values of ``cols``, a column each."""
+    return pairs.groupBy(rows).pivot(cols, values).agg(F.count(F.lit(1))).fillna(0)
+
+
+def id_gaps(records: DataFrame, by: str, number: str) -> DataFrame:
+    """(by, n, gap_1, longest, corr): do ids of a group follow each other, and do they go with the order of the table? A check for leaks."""
+    own = W.Window.partitionBy(by).orderBy(number)
+    d = records.select(by, number, (F.col(number) - F.lag(number).over(own)).alias("gap"), F.row_number().over(own).alias("at"))
+    return d.groupBy(by).agg(F.count("*").alias("n"), F.count(F.when(F.col("gap") == 1, 1)).alias("gap_1"), F.max("gap").alias("longest"), F.round(F.corr(number, "at"), 6).alias("corr"))
+
+
+def ownership(truth: DataFrame, records: DataFrame, queries: DataFrame) -> DataFrame:
+    """(orphans, singles, shared): shares of records without a query and of queries without a record, and the number of records with two."""
+    r = records.select(F.col("entity_id").alias("r")).join(truth.groupBy("r").agg(F.count("*").alias("n")), "r", "left").fillna(0)
+    q = queries.select("s1").join(truth.groupBy("s1").agg(F.count("*").alias("n")), "s1", "left").fillna(0)
+    a = r.agg(F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("orphans"), F.count(F.when(F.col("n") > 1, 1)).alias("shared"))
+    return a.join(q.agg(F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("singles"))).select("orphans", "singles", "shared")  # a row each
+
+
+def oracle_gains(pred: DataFrame, pairs: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
+    """(f05, no_wrong, all_found, both): macro F as it is, without the wrong pairs, with all true pairs of the pool, and with both."""
+    p, t = pred.select("s1", "r").distinct(), truth.select("s1", "r")
+    right = p.join(t, ["s1", "r"], "left_semi")
+    found = pairs.select("s1", "r").distinct().join(t, ["s1", "r"], "left_semi")
+    kinds = (("f05", p), ("no_wrong", right), ("all_found", p.unionByName(found).distinct()), ("both", right.unionByName(found).distinct()))
+    out = None
+    for name, x in kinds:
+        one = macro_f(x, truth, queries).select(F.col("f05").alias(name))
+        out = one if out is None else out.join(one)  # a row each
+    return out

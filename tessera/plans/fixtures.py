@@ -22,7 +22,8 @@ cp as (select s1.*, r_regionkey as j, cast((k * 7 + r_regionkey * 3) % 9 as int)
        from s1 cross join region where (k + r_regionkey) % 3 <> 0 and r_regionkey < 4 and k % 18 <> 5),
 copies as (
  select (case when j < 2 then 'S2-' else 'S3-' end) || lpad(cast(k * 10 + j as string), 9, '0') as entity_id,
-   case m when 1 then upper(business_name)
+   case m when 0 then business_name || ' # ' || cast(k as string) || ' (id ' || cast(k as string) || ')'
+          when 1 then upper(business_name)
           when 2 then replace(replace(business_name, ' LLC', ''), ' Inc', '')
           when 3 then replace(business_name, 'i', '1')
           when 4 then 'Zarqo F/K/A ' || business_name

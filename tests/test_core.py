@@ -217,3 +217,95 @@ def test_registered_fold_and_matcher_are_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog.model, "predict", lambda m, d, cols: d.withColumn("p", F.lit(0.5)))
     catalog.queries()["matcher"](spark, "/root/testdata/sf0.001")
     assert asked == [(2, {})]  # default trees and depth
+
+
+def test_written_list_and_its_rules(spark, tmp_path):
+    m = spark.createDataFrame([("S1-a", "S2-x"), ("S1-a", "S3-y")], "s1 string, r string")
+    q = spark.createDataFrame([("S1-a",), ("S1-b",)], "s1 string")
+    rec = spark.createDataFrame([("S2-x",), ("S3-y",)], "entity_id string")
+    path = str(tmp_path / "m.tsv")
+    io.write_submission(m, m, q, rec, path, str(tmp_path / "c.tsv"), one_file=True)
+    with open(path) as f:
+        assert f.read() == "source1_entity_id\tmatched_entity_ids\nS1-a\tS2-x,S3-y\nS1-b\t\n"
+    rules = lambda p: {r.rule: r.n for r in io.file_violations(spark, p, "matched_entity_ids", q, rec).collect() if r.n}
+    assert rules(path) == {}
+    bad = tmp_path / "bad.tsv"
+    bad.write_text("source1_entity_id\tmatched_entity_ids\nS1-a\tS2-x,S2-x,S1-z,S9-q,S2-none\nS1-a\t\nno tab here\nS1-c\tS3-y\n")
+    assert rules(str(bad)) == {"no_tab": 1, "duplicate_row": 1, "duplicate_id": 1, "self_match": 1, "wrong_prefix": 1, "missing_query": 1, "unknown_query": 1, "unknown_record": 1}
+    bad.write_text("source1_entity_id,matched_entity_ids\nS1-a,S2-x\n")
+    assert rules(str(bad)) == {"comma_separated": 1, "no_tab": 1, "missing_query": 2}
+    bad.write_text("source1_entity_id\twrong\nS1-a\tS2-x\nS1-b\t\n")
+    assert rules(str(bad)) == {"header": 1}
+    io.write_metrics(rec, str(tmp_path / "x.csv"))
+    assert (tmp_path / "x.csv").read_text() == "entity_id\nS2-x\nS3-y\n"
+    io.write_by(m, str(tmp_path / "by"), "r")
+    assert spark.read.parquet(str(tmp_path / "by")).count() == 2
+
+
+def test_record_files(spark, tmp_path):
+    for i in (1, 2):
+        (tmp_path / f"{i}.tsv").write_text(f'entity_id\tbusiness_name\tbusiness_address\tcountry\nS2-{i}\tA "quoted" name\t\tUS\n')
+    got = io.read_records(spark, str(tmp_path / "1.tsv"), str(tmp_path / "2.tsv")).orderBy("entity_id").collect()
+    assert [(r.entity_id, r.business_name, r.business_address) for r in got] == [(f"S2-{i}", 'A "quoted" name', None) for i in (1, 2)]
+
+
+def test_head_levels_and_saved_models(spark, tmp_path):
+    rows = [(f"S1-{i:03d}", f"S2-{i:03d}{j}", round(0.9 - 0.3 * j if i % 2 else 0.2 + 0.1 * j, 3), float(i % 2), int(i % 2 and j == 0)) for i in range(300) for j in range(3)]
+    d = spark.createDataFrame(rows, "s1 string, r string, p double, nm_tset double, y int")
+    truth = d.filter("y = 1").select("s1", "r")
+    head = model.fit_head(d, truth, iterations=4, depth=2)
+    h = {r.s1: r.h for r in model.head_scores(head, d).collect()}
+    assert h["S1-001"] > 0.9 > 0.1 > h["S1-000"]
+    got = {(r.s1, r.r) for r in decide.decide(d, {"rule": "head"}, model.head_scores(head, d)).collect()}
+    assert ("S1-001", "S2-0010") in got and not any(s == "S1-000" for s, _ in got)
+    with pytest.raises(ValueError):
+        decide.decide(d, {"rule": "head"})
+    level = model.fit_level(d, ["p", "nm_tset"], iterations=4, depth=2)
+    better = model.predict(level, d, ["p", "nm_tset"], "p2").drop("p").withColumnRenamed("p2", "p")
+    take, gain = model.gated(d.withColumn("p", F.lit(0.6)), better, lambda x: decide.rank_threshold(x, 0.5, 0.5), truth, 0.002)
+    assert take and gain > 0.2 and model.gated(d, d, lambda x: decide.rank_threshold(x, 0.5, 0.5), truth, 0.001) == (False, 0.0)
+    model.save(level, {"t1": 0.8, "rule": "rank"}, str(tmp_path / "m"))
+    again, cfg = model.load(spark, str(tmp_path / "m"))
+    assert cfg == {"rule": "rank", "t1": 0.8}
+    assert sorted(map(str, model.predict(again, d, ["p", "nm_tset"], "p2").collect())) == sorted(map(str, model.predict(level, d, ["p", "nm_tset"], "p2").collect()))
+    judged = d.withColumn("lg", F.when(F.col("nm_tset") > 0, F.lit(2.0)).when(F.col("s1") != "S1-002", F.lit(-2.0)))
+    out = {(r.s1, r.r): r for r in model.blend(model.blended(judged, ["lg"]), judged, ["lg"]).collect()}
+    assert out["S1-001", "S2-0010"].p > 0.5 > out["S1-000", "S2-0000"].p and out["S1-002", "S2-0020"].p == 0.2 and out["S1-002", "S2-0020"].lg is None
+    assert features.feature_columns(d) == ["nm_tset"] and model.sampled(d, "r", 7).count() == 7
+
+
+def test_street_twins(spark):
+    rows = [(f"S2-{i}", "N", f"{100 + i} Oak{chr(97 + i)} Street, Dayton", "US") for i in range(8)] + [("S2-x", "N", None, "US"), ("S2-y", "N", "No number", "US")]
+    rec = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
+    pairs = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(8)], "s1 string, r string")
+    got = model.street_twins(pairs, rec, 5).collect()
+    by = {r[0]: r[2] for r in rows}
+    assert 1 <= len(got) <= 5
+    for t in got:
+        assert t.entity_id == "S2-SYN" + t.r[3:] and t.business_address != by[t.r] and t.business_address.split()[0] == by[t.r].split()[0] and t.business_address.endswith(", Dayton")
+
+
+def test_pool_policies(spark):
+    rows = [("q", "a", 10, "g1", "disjoint", False, 0.0), ("q", "b", 8, "g2", "equal", False, -0.9), ("q", "c", 3, None, "equal", False, 0.0), ("q", "d", 9, "g1", "disjoint", False, 0.0), ("q", "e", 7, "g3", "disjoint", True, 0.0)]
+    d = spark.createDataFrame(rows, "s1 string, r string, sc long, gid string, rel string, a4 boolean, rev_margin double")
+    from tessera.operators import candidates
+
+    kept = lambda **p: {x.r for x in candidates.apply_policy(d, p).collect()}
+    assert kept() == set("abcde") and kept(gate=True) == set("bce") and kept(alpha=0.75) == set("abd") and kept(groups=1) == set("ad")
+    assert kept(beta=0.5) == set("acde") and kept(beta=-1) == set("abcde") and kept(kmax=2) == set("ad")
+    truth = spark.createDataFrame([("q", "b"), ("z", "b")], "s1 string, r string")
+    qs = spark.createDataFrame([("q",), ("z",)], "s1 string")
+    got = {r.name: r for r in candidates.frontier(d, truth, qs, [{"name": "all"}, {"name": "gate", "gate": True}, {"name": "one", "groups": 1}]).collect()}
+    assert (got["all"].recall, got["all"].complete, got["all"].cands) == (0.5, 0.5, 2.5) and got["one"].complete == 0 and got["gate"].best and not got["all"].best
+
+
+def test_stream_of_records(spark, tmp_path):
+    from tessera.streaming import live
+
+    cols = "entity_id string, business_name string, business_address string, country string"
+    qs = normalize.normalise(spark.createDataFrame([("S1-a", "Acme Tools", "12 Oak Street", "US"), ("S1-b", "Bolt Works", "7 Elm Road", "US")], cols))
+    spark.createDataFrame([("S2-x", "Acme Tools LLC", "12 Oak St", "US"), ("S2-y", "Other Name", "99 Far Lane", "US")], cols).write.json(str(tmp_path / "in"))
+    got = []
+    run = live.match_stream(spark.readStream.schema(cols).json(str(tmp_path / "in")), blocking.tokens(qs, query=True), qs, lambda pairs, epoch: got.extend(pairs.collect()))
+    run.start().awaitTermination(60)
+    assert {(r.s1, r.r) for r in got} == {("S2-x", "S1-a")}
