@@ -1,6 +1,6 @@
 """Near-duplicate detection with order MinHash, verified by banded alignment.
 
-A text's words (lower case, letters and digits) are cut once, in the JVM, and from then on are 64-bit hashes. They give five-word
+A text's words (lower case, letters and digits) are cut in the JVM and from then on are hashes, of 64 bits in sketches and of 32 in alignments. They give five-word
 k-mers, each labelled by how often it has occurred before. For each of ``sketches`` hash functions the ``ell`` smallest
 labelled k-mers, kept in text order, make one sketch value: equal values need equal k-mers in an equal order, which is close
 to edit similarity. Each value is a bucket key.
@@ -199,11 +199,11 @@ def near_duplicates(
     cells = reps.select("node", F.posexplode("sk").alias("f", "v")).select(F.xxhash64("f", "v").alias("key"), "node")
 
     def words(nodes: DataFrame) -> DataFrame:
-        """(node, w) of some nodes: of all rows one a node is taken by id and text hash before its words are cut."""
+        """(node, w) of some nodes, w: 32-bit hashes of the words; of all rows one a node is taken by id and text hash before its words are cut."""
         need = reps.join(nodes, "node").select(F.col("rep").alias("need"), F.col("h").alias("need_h"), F.col("node").alias("need_node"))
         texts = src.withColumn("h", F.xxhash64("text"))
         found = texts.join(need, (F.col("h") == F.col("need_h")) & F.col("id").eqNullSafe(F.col("need"))).select(F.col("need_node").alias("node"), "text")
-        return found.withColumn("words", words_of(F.col("text"))).select("node", hashes(F.col("words")).alias("w")).groupBy("node").agg(F.first("w").alias("w"))
+        return found.withColumn("words", words_of(F.col("text"))).select("node", F.transform("words", lambda x: F.hash(x)).alias("w")).groupBy("node").agg(F.first("w").alias("w"))
 
     classes = _classes(cells, words, threshold)
     named = reps.select("node", "rep").join(classes, "node", "left").select("node", "rep", F.coalesce("class", "node").alias("class"))
@@ -293,7 +293,7 @@ def _tokens(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
     def emit(pick):
         def run(batches):
             often, rare = sent.value
-            for pdf in batches:
+            for pdf in (b.iloc[i : i + 256] for b in batches for i in range(0, len(b), 256)):
                 found = []
                 for w in pdf["w"]:
                     grams = hashed(w)
