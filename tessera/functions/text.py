@@ -214,7 +214,8 @@ def _odd_class() -> str:
 def needs_python(name: Column, address: Column) -> Column:
     """Whether a record has Indic letters, a web handle or compatibility forms of several letters."""
     either = F.concat_ws("\n", name, address)
-    return F.coalesce(either.rlike(INDIC) | name.rlike(WEB) | either.rlike(_odd_class()), F.lit(False))
+    beyond = F.when(either.rlike(r"[^\x00-\x7F]"), either.rlike(INDIC) | either.rlike(_odd_class())).otherwise(False)  # the long class is slow
+    return F.coalesce(beyond, F.lit(False)) | F.coalesce(name.rlike(WEB), F.lit(False))
 
 
 def plain_records(df: DataFrame, lexicon: dict[str, str], logp: dict[str, dict[str, float]], name: str = "business_name", address: str = "business_address") -> DataFrame:
