@@ -7,29 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one under /tmp/checkpoints where it is unset and Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file:///tmp/checkpoints"
+from ..sources.shared import cut, shared_dir
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/tessera-{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 class Stored:
     """A frame written as a table of the shared folder, and read back from it, until ``drop``.
 

@@ -309,3 +309,41 @@ def test_stream_of_records(spark, tmp_path):
     run = live.match_stream(spark.readStream.schema(cols).json(str(tmp_path / "in")), blocking.tokens(qs, query=True), qs, lambda pairs, epoch: got.extend(pairs.collect()))
     run.start().awaitTermination(60)
     assert {(r.s1, r.r) for r in got} == {("S2-x", "S1-a")}
+
+
+def test_blocks_of_queries_score_as_one_by_one(spark, monkeypatch):
+    """Ties, scores of zero, ids in two countries and several blocks; ranks and lowest df of true pairs."""
+    monkeypatch.setattr(blocking, "BLOCK", 3)
+    import random
+
+    rnd = random.Random(5)
+    side = lambda kind, n: [(c, f"{kind}{i}", arm, f"t{rnd.randrange(9)}") for i in range(n) for arm in (0, 3) for c in (("US", "FR") if i % 5 == 0 else ("US",)) for _ in range(3)]
+    ask, have = sorted(set(side("q", 10))), sorted(set(side("r", 25)))
+    cols = "country string, id string, arm int, t string"
+    df = {}
+    for c, _, arm, t in have:
+        df[c, arm, t] = df.get((c, arm, t), 0) + 1
+    weight = {k: (v, 0 if k[2] == "t3" else 100 // v) for k, v in df.items() if k[2] != "t5"}
+    w = spark.createDataFrame([(*k, *v) for k, v in weight.items()], "country string, arm int, t string, df long, idf long")
+    hits = {}
+    for c, q, arm, t in ask:
+        for c2, r, arm2, t2 in have:
+            if (c, arm, t) == (c2, arm2, t2) and (c, arm, t) in weight:
+                hits.setdefault((q, arm), {}).setdefault(r, []).append(weight[c, arm, t])
+    want = {(q, r, arm, s, k) for (q, arm), d in hits.items() for k, (s, r) in enumerate(sorted((-sum(i for _, i in v), r) for r, v in d.items())[: 4 if arm else 30], 1)}
+    x, y = spark.createDataFrame(ask, cols), spark.createDataFrame(have, cols)
+    assert {(p.s1, p.r, p.arm, -p.sc, p.rk) for p in blocking.retrieve(x, y, w, {0: 30, 3: 4}).collect()} == want
+    assert any(s == 0 for *_, s, _ in want)
+    merged = {}
+    for (q, _), d in hits.items():
+        for r, v in d.items():
+            merged.setdefault(q, {}).setdefault(r, []).extend(v)
+    top = {(q, r, s, k) for q, d in merged.items() for k, (s, r) in enumerate(sorted((-sum(i for _, i in v), r) for r, v in d.items())[:5], 1)}
+    assert {(p.s1, p.r, -p.sc, p.rk) for p in blocking.best(x, y, w, 5).collect()} == top
+
+    def pick(arm, sc, shared, low, true):
+        return true, {"n": shared[true], "low": low(true)}
+
+    truth = spark.createDataFrame([("q1", "r2"), ("q1", "r3"), ("q5", "r5"), ("q5", "none"), ("none", "r1")], "s1 string, r string")
+    got = {(p.s1, p.r, p.arm, p.n, p.low) for p in blocking.scored(x, y, w, pick, {"n": "long", "low": "long"}, truth=truth).collect()}
+    assert got == {(q, r, arm, len(d[r]), min(n for n, _ in d[r])) for (q, arm), d in hits.items() for r in d if (q, r) in {("q1", "r2"), ("q1", "r3"), ("q5", "r5")}} and got
