@@ -347,3 +347,38 @@ def test_blocks_of_queries_score_as_one_by_one(spark, monkeypatch):
     truth = spark.createDataFrame([("q1", "r2"), ("q1", "r3"), ("q5", "r5"), ("q5", "none"), ("none", "r1")], "s1 string, r string")
     got = {(p.s1, p.r, p.arm, p.n, p.low) for p in blocking.scored(x, y, w, pick, {"n": "long", "low": "long"}, truth=truth).collect()}
     assert got == {(q, r, arm, len(d[r]), min(n for n, _ in d[r])) for (q, arm), d in hits.items() for r in d if (q, r) in {("q1", "r2"), ("q1", "r3"), ("q5", "r5")}} and got
+
+
+def test_name_scores_are_exact_and_do_not_cut_each_window_out(monkeypatch):
+    """All windows of a partial ratio in one alignment: no call for each; scores as by definition."""
+    import random
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        return row[-1]
+
+    def _next(row, x, b):
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        return new
+
+    r = random.Random(11)
+    word = lambda k: "".join(r.choice("ab é") for _ in range(r.randrange(k)))
+    pairs = [(word(9), word(14)) for _ in range(400)]
+    rate = lambda a, b: 200.0 * plain(a, b) / (len(a) + len(b)) if a or b else 100.0
+    for a, b in pairs:
+        assert strsim.ratio(a, b) == rate(a, b)
+        s, t = sorted((a, b), key=len)
+        if s:
+            assert strsim.partial(a, b) == max(rate(s, t[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(t)))
+        x, y = set(a.split()), set(b.split())
+        if x and y and not (x & y and (x <= y or y <= x)):
+            both = " ".join(sorted(x & y))
+            xa, yb = (" ".join(filter(None, (both, " ".join(sorted(d))))) for d in (x - y, y - x))
+            assert strsim.token_set(a, b) == max([rate(xa, yb)] + ([rate(both, xa), rate(both, yb)] if both else []))
+    calls = []
+    monkeypatch.setattr(strsim, "ratio", lambda a, b: calls.append(1) or 0.0)
+    assert strsim.partial("acme tools", "the acme toys and tools company") > 70 and not calls
