@@ -12,14 +12,15 @@ word differs are still found, though they share few five-word k-mers; the sketch
 Texts of equal words collapse first to one node (128 bits of hash), so exact copies, however many, cost one aggregation.
 In a bucket no pairs are listed. In each of three rounds some members are hubs (the one that meets most others in all buckets, then one
 of each of four hash groups), found by maxima, and each member that is not in a hub's class by then is compared with it: near copies end up in
-one class after a round or two. Buckets whose other members are still of several classes are left. There, pairs come from an
+one class after a round or two. Pairs that 512 parities of word counts show to be too far apart are not compared. Buckets whose other members are still of several classes are left. There, pairs come from an
 equi-join on rare runs of words: a text is cut into runs of one to three words, as short as a common counter table allows; an edit
 spoils one run at most, so of the (1 - threshold)n + 1 rarest runs of the longer text one is left in any similar text, and that
 text has it among its own runs. The counter table has a fixed size. So no link between members of a bucket is lost, but for pairs that are of one
 class anyway, which are not compared.
 
-Worst case: texts of which a very common passage makes up nearly as much as the threshold have no rare run left to tell them apart, and
-their pairs are aligned.
+Worst case: texts of which a very common passage makes up nearly as much as the threshold have no rare run left to tell them apart;
+their pairs meet in the join, where the parities tell most apart, as numbers, before a row is made; the others are aligned. Parities of texts of
+a thousand words or more tell little.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from ._util import Stored, cut, table
 NAME = "op2_neardup"
 
 _SPLIT = r"[^\p{L}\p{N}]+"
-_HUBS, _ROUNDS, _COUNTERS, _BITS = 4, 3, 1 << 18, 1 << 22
+_HUBS, _ROUNDS, _COUNTERS, _BITS, _LOCAL = 4, 3, 1 << 18, 1 << 22, 1 << 17
+_MARK = 8  # numbers of 64 bits
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -135,16 +137,54 @@ def _distance(a: list[int], b: list[int], band: int) -> int:
     return score
 
 
+def mark(words: np.ndarray) -> np.ndarray:
+    """``_MARK`` numbers with a bit for each of 64 * ``_MARK`` groups of words: whether the text has an odd number of them.
+
+    An inserted or deleted word changes one bit, a replaced one two at most.
+    """
+    odd = np.bincount(words & (64 * _MARK - 1), minlength=64 * _MARK) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_be_near(n_x: Column, x: list[Column], n_y: Column, y: list[Column], threshold: float) -> Column:
+    """Whether two texts' words and marks leave room for the threshold: no pair that reaches it is left out."""
+    flips = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y)), F.lit(0))
+    longer, apart = F.greatest(n_x, n_y), F.abs(n_x - n_y)
+    return flips + apart <= 2 * F.floor(F.lit(1 - threshold) * longer + F.lit(1e-9))
+
+
+def _merged(batches):
+    """(a, next) of each node of the edges (a, b) of all batches; next is the smallest node of its component."""
+    ends = [(pdf["a"].to_numpy(), pdf["b"].to_numpy()) for pdf in batches]
+    at, nodes = pd.factorize(np.concatenate([x for e in zip(*ends) for x in e]) if ends else np.zeros(0, dtype=object))
+    order = np.argsort(nodes, kind="stable")
+    place = np.empty(len(nodes), dtype=np.int64)
+    place[order] = np.arange(len(nodes))
+    at, root = place[at], list(range(len(nodes)))  # roots are the smallest of their trees
+    for x, y in zip(at[: len(at) // 2].tolist(), at[len(at) // 2 :].tolist()):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        root[max(x, y)] = min(x, y)
+    for i, x in enumerate(root):
+        root[i] = root[x]
+    yield pd.DataFrame({"a": nodes[order], "next": nodes[order][np.array(root, dtype=np.int64)]})
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, class) for edges (a, b): class is the smallest node of the component.
 
-    Each round sends a node to the neighbour (or itself) with the smallest hash under the round's seed and contracts the
-    edges; the number of nodes falls geometrically, whatever the shape. Hot nodes are summed up before shuffles. Tables of
-    earlier rounds are deleted, the last one stays in the shared folder for whoever reads the result.
+    While there are over ``_LOCAL`` edges, each round sends a node to the neighbour (or itself) with the smallest hash under
+    the round's seed and contracts the edges; the number of nodes falls geometrically, whatever the shape. Hot nodes are
+    summed up before shuffles. The bounded rest is named by one task, as dozens of tiny rounds would cost the driver a plan
+    and hundreds of tasks each. Tables of earlier rounds are deleted, the last one stays in the shared folder for whoever
+    reads the result.
     """
-    left = Stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    left = Stored(edges.select("a", "b").filter("a <> b"), "edges")
+    kind = left.df.schema["a"].dataType.simpleString()
     steps: list[Stored] = []
-    while left.df.take(1):
+    while left.df.count() > _LOCAL:
         k = len(steps)
         both = left.df.select("a", "b").union(left.df.select(F.col("b"), F.col("a")))
         near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("h"), F.col("b").alias("v"))).alias("m"))
@@ -156,14 +196,17 @@ def connected(edges: DataFrame) -> DataFrame:
         left.drop()
         left = shorter
         steps.append(goes)
-    if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).limit(0)
-    names = steps[0].df.select(F.col("a").alias("node"), F.col("next").alias("at"))
+    steps.append(Stored(left.df.coalesce(1).mapInPandas(_merged, f"a {kind}, next {kind}"), "goes"))
+    left.drop()
+    names = steps[0].df.select(F.col("a").alias("node"), F.col("next").alias("class"))
+    if len(steps) == 1:
+        return names
+    names = names.withColumnRenamed("class", "at")
     for goes in steps[1:]:
         names = names.join(goes.df, F.col("at") == F.col("a"), "left").select("node", F.coalesce("next", "at").alias("at"))
     least = names.groupBy("at").agg(F.min("node").alias("class"))
     named = Stored(names.join(least, "at").select("node", "class"), "names")
-    for t in [*steps, left]:
+    for t in steps:
         t.drop()
     return named.df
 
@@ -263,7 +306,7 @@ def chosen(token: np.ndarray, count: np.ndarray, size: np.ndarray, edits: int) -
 
 
 def _tokens(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(token, node, n, of) twice from (node, w, of): the rare segments of each text, and of all texts those runs of words that may be asked for.
+    """(token, node, n, of, mark) twice from (node, w, n, mark, of), mark as one column a number: the rare segments of each text, and of all texts those runs of words that may be asked for.
 
     One of its rare segments is left in whatever is similar to a text and no longer.
     """
@@ -286,8 +329,8 @@ def _tokens(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
 
     spark = members.sparkSession
     table_ = np.zeros(_COUNTERS, dtype=np.int64)
-    counts = members.select("w").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # of fixed size
-    table_[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    counts = members.select("w").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # of fixed size; as columns, not a Python object a cell
+    table_[counts["cell"].to_numpy()] = counts["n"].to_numpy()
     sent = spark.sparkContext.broadcast((np.minimum(table_, 2**31 - 1).astype(np.int32), 8 + 4 * float(table_.mean())))
 
     def emit(pick):
@@ -300,9 +343,11 @@ def _tokens(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
                     token, n, size = segments(grams, [often[cell(g)] for g in grams], rare)
                     found.append(np.unique(pick(token, n, size, len(w))).view(np.int64))
                 each = np.repeat(np.arange(len(pdf)), [len(x) for x in found])
-                yield pd.DataFrame({"token": np.concatenate(found) if found else np.zeros(0, dtype=np.int64), "node": pdf["node"].to_numpy()[each], "n": pdf["w"].str.len().to_numpy(np.int64)[each], "of": pdf["of"].to_numpy()[each]})
+                out = {"token": np.concatenate(found) if found else np.zeros(0, dtype=np.int64)} | {c: pdf[c].to_numpy()[each] for c in ("node", "n", "of")}
+                marks = np.stack(pdf["mark"].tolist()) if len(pdf) else np.zeros((0, _MARK), dtype=np.int64)
+                yield pd.DataFrame(out | {f"mark{i}": marks[each, i] for i in range(_MARK)})
 
-        return members.mapInPandas(run, "token long, node binary, n long, of binary")
+        return members.mapInPandas(run, ", ".join(["token long, node binary, n long, of binary", *(f"mark{i} long" for i in range(_MARK))]))
 
     def asked(token, n, size, words):
         at = chosen(token, n, size, math.floor((1 - threshold) * words + 1e-9))
@@ -310,9 +355,9 @@ def _tokens(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
 
     asks = cut(emit(asked))
     bit = F.col("token").bitwiseAND(F.lit(_BITS - 1))
-    some = asks.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toPandas()  # of fixed size
+    some = asks.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()  # of fixed size
     mask = np.zeros(_BITS // 32, dtype=np.uint32)
-    mask[some["at"].to_numpy(np.int64)] = some["bits"].to_numpy(np.int64).astype(np.uint32)
+    mask[some["at"].to_numpy()] = some["bits"].to_numpy().astype(np.uint32)
     wanted = spark.sparkContext.broadcast(mask)
 
     def answers(token, n, size, words):
@@ -331,10 +376,14 @@ def _classes(cells: DataFrame, words, threshold: float) -> DataFrame:
             ok = [similarity(a, b, threshold) >= threshold - 1e-9 for a, b in zip(pdf["wa"], pdf["wb"])]
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
+    def marked(batches):
+        for pdf in batches:
+            yield pdf.assign(n=pdf["w"].str.len().astype(np.int64), mark=[mark(np.asarray(w, dtype=np.int64)) for w in pdf["w"]])
+
     shared = cells.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     base = cut(cells.join(shared, "key"))
     central = base.groupBy("node").agg(F.sum("n").alias("rank"))
-    held = cut(words(central.select("node")))
+    held = cut(words(central.select("node")).mapInPandas(marked, "node binary, w array<int>, n long, mark array<long>"))
     wa, wb = held.select(F.col("node").alias("a"), F.col("w").alias("wa")), held.select(F.col("node").alias("b"), F.col("w").alias("wb"))
 
     def pairs(d: DataFrame, x: str, y: str) -> DataFrame:
@@ -344,18 +393,23 @@ def _classes(cells: DataFrame, words, threshold: float) -> DataFrame:
         return cut(asked.join(wa, "a").join(wb, "b").mapInPandas(verify, "a binary, b binary"))
 
     links, named, asked, used = None, None, None, None
-    base = cut(base.join(central, "node").select("key", "node", "rank"))
+    base = cut(base.join(central, "node").join(held.select("node", F.struct("n", "mark").alias("mark")), "node").select("key", "node", "rank", "mark"))
+
+    def near(x: Column, y: Column) -> Column:
+        return _may_be_near(x["n"], [x["mark"][i] for i in range(_MARK)], y["n"], [y["mark"][i] for i in range(_MARK)], threshold)
+
     left = base.withColumn("of", F.col("node"))
     for r in range(_ROUNDS):
         # hubs by maxima: first the most central member of a bucket, later one of each of _HUBS groups of those that are left
         if r:
-            picks = [F.max(F.when(F.pmod(F.xxhash64("node", F.lit(-r)), F.lit(_HUBS)) == i, F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "of"))) for i in range(_HUBS)]
+            picks = [F.max(F.when(F.pmod(F.xxhash64("node", F.lit(-r)), F.lit(_HUBS)) == i, F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "of", "mark"))) for i in range(_HUBS)]
         else:
-            picks = [F.max(F.struct("rank", "node", "of"))]
+            picks = [F.max(F.struct("rank", "node", "of", "mark"))]
         tops = left.groupBy("key").agg(*(p.alias(f"m{i}") for i, p in enumerate(picks)))
-        hubs = cut(tops.select("key", F.explode(F.array_compact(F.array(*(f"m{i}" for i in range(len(picks)))))).alias("m")).select("key", F.col("m.node").alias("hub"), F.col("m.of").alias("of_hub")))
-        listed = hubs.groupBy("key").agg(F.collect_list(F.struct("hub", "of_hub")).alias("hubs"))  # _HUBS at most
-        now = pairs(left.join(listed, "key").select("node", "of", F.inline("hubs")).filter("of <> of_hub"), "node", "hub")
+        hubs = cut(tops.select("key", F.explode(F.array_compact(F.array(*(f"m{i}" for i in range(len(picks)))))).alias("m")).select("key", F.col("m.node").alias("hub"), F.col("m.of").alias("of_hub"), "m.mark"))
+        listed = hubs.groupBy("key").agg(F.collect_list(F.struct("hub", "of_hub", "mark")).alias("hubs"))  # _HUBS at most
+        to = F.filter("hubs", lambda h: (h["of_hub"] != F.col("of")) & near(h["mark"], F.col("mark")))
+        now = pairs(left.join(listed, "key").select("node", F.explode(F.transform(to, lambda h: h["hub"])).alias("hub")), "node", "hub")
         now = cut(now if asked is None else now.join(asked, ["a", "b"], "left_anti"))
         found = verified(now)
         asked = now if asked is None else asked.unionByName(now)
@@ -371,9 +425,10 @@ def _classes(cells: DataFrame, words, threshold: float) -> DataFrame:
             return named
     members = cut(left.groupBy("node").agg(F.first("of").alias("of")))
     asks, answers = _tokens(held.join(members, "node"), threshold)
-    x, y = (d.select("token", F.col("node").alias(c), F.col("of").alias(f"of_{c}"), F.col("n").alias(f"n_{c}")) for c, d in (("x", asks), ("y", answers)))
+    x, y = (d.select("token", F.col("node").alias(c), F.col("of").alias(f"of_{c}"), F.col("n").alias(f"n_{c}"), *(F.col(f"mark{i}").alias(f"{c}{i}") for i in range(_MARK))) for c, d in (("x", asks), ("y", answers)))
     shorter = (F.col("n_y") < F.col("n_x")) | (F.col("n_y") == F.col("n_x")) & (F.col("x") < F.col("y"))
-    met = x.join(y, "token").filter((F.col("of_x") != F.col("of_y")) & shorter & (F.col("n_y") >= F.lit(threshold) * F.col("n_x") - F.lit(1e-6)))
+    near_ = _may_be_near(F.col("n_x"), [F.col(f"x{i}") for i in range(_MARK)], F.col("n_y"), [F.col(f"y{i}") for i in range(_MARK)], threshold)
+    met = x.join(y, "token").filter((F.col("of_x") != F.col("of_y")) & shorter & near_)
     last = pairs(met, "x", "y").join(asked, ["a", "b"], "left_anti")
     star = named.select(F.col("node").alias("a"), F.col("class").alias("b"))
     return connected(star.unionByName(verified(last)))
